@@ -3,11 +3,35 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from statuta.llm.canonical import map_to_list, match_report
+from statuta.llm.chunks import oversized, pieces
+from statuta.llm.mixing import mix, mix_report
+from statuta.llm.packing import pack, pack_report
+from statuta.llm.scans import odd_words, repaired, scan_defects, text_lines, word_counts
 from statuta.session import load
 
 
+def _scanned(spark: SparkSession, d: str) -> list[tuple[DataFrame, str, str, str]]:
+    return [
+        (load(spark, d, "extraction_results"), "extraction_id", "text", "extraction_results"),
+        (load(spark, d, "legal_units"), "unit_row_id", "local_content", "legal_units"),
+    ]
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return scan_defects(_scanned(spark, d))
+
+
+def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """All texts of extraction results as continuous paragraphs, with the vocabulary of both tables."""
+    results, units = _scanned(spark, d)
+    lines = text_lines(*results).unionByName(text_lines(*units))
+    odd = odd_words(word_counts(lines))
+    return repaired(*results, odd).unionByName(repaired(*units, odd))
+
+
 def _mapped(spark: SparkSession, d: str) -> DataFrame:
     return map_to_list(load(spark, d, "relationship_refs"), load(spark, d, "regulation_catalog"), other_titles=load(spark, d, "legal_documents"))
 
@@ -20,8 +44,47 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return match_report(_mapped(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_report)}
-ORACLES: dict[str, str] = {}
+_LONG = ("unit_row_id", ["content", "bm25_body"])
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return oversized(load(spark, d, "legal_units"), *_LONG)
+
+
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return pieces(load(spark, d, "legal_units"), *_LONG)
+
+
+def p5_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Per value: the characters of its pieces without the overlaps, and whether any piece is too long."""
+    cut = pieces(load(spark, d, "legal_units"), *_LONG)
+    own = F.length("piece") - F.when(F.col("piece_no") > 0, 100).otherwise(0)
+    return cut.groupBy("unit_row_id", "field_name").agg(F.sum(own).alias("n_chars"), F.max(F.length("piece") > 1500).alias("too_long"))
+
+
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    return pack(load(spark, d, "documents"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return pack_report(pack(load(spark, d, "documents")))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix(load(spark, d, "documents"), load(spark, d, "mix_targets"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    targets = load(spark, d, "mix_targets")
+    return mix_report(mix(load(spark, d, "documents"), targets), targets)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p3_found, p3_report, p5_found, p5_pieces, p5_cover, p7_packed, p7_report, p8_mix, p8_report)}
+_VALUES = "SELECT unit_row_id, 'content' AS field_name, content AS v FROM legal_units UNION ALL SELECT unit_row_id, 'bm25_body', bm25_body FROM legal_units"
+ORACLES: dict[str, str] = {
+    "p5_found": f"SELECT unit_row_id, field_name FROM ({_VALUES}) WHERE length(v) > 1500",
+    "p5_cover": f"SELECT unit_row_id, field_name, CAST(length(v) AS BIGINT) AS n_chars, false AS too_long FROM ({_VALUES}) WHERE v IS NOT NULL",
+}
 
 
 def collect() -> tuple[dict, dict]:
