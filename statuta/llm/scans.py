@@ -130,7 +130,7 @@ def text_lines(df: DataFrame, key: str, text: str, table_name: str) -> DataFrame
 
 
 #: The outer punctuation of a sentence.
-_OUTER = r"^[(\"\[“]+|[).,;:\"”\]?]+$"
+_OUTER = r"^\[(?=[^\]]*$)|^[(\"“]+|[).,;:\"”?]+$"
 
 
 def _words(joined: Column) -> Column:
