@@ -9,6 +9,7 @@ from statuta.llm.canonical import map_to_list, match_report
 from statuta.llm.chunks import oversized, pieces
 from statuta.llm.mixing import mix, mix_report
 from statuta.llm.packing import pack, pack_report
+from statuta.llm.residue import residue, validate
 from statuta.llm.scans import odd_words, repaired, scan_defects, text_lines, word_counts
 from statuta.session import load
 
@@ -32,6 +33,14 @@ def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
     return repaired(*results, odd).unionByName(repaired(*units, odd))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue(load(spark, d, "legal_documents")).select("doc_row_id", "field_name")
+
+
+def p2_validation(spark: SparkSession, d: str) -> DataFrame:
+    return validate(load(spark, d, "legal_documents"))
+
+
 def _mapped(spark: SparkSession, d: str) -> DataFrame:
     return map_to_list(load(spark, d, "relationship_refs"), load(spark, d, "regulation_catalog"), other_titles=load(spark, d, "legal_documents"))
 
@@ -79,7 +88,7 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return mix_report(mix(load(spark, d, "documents"), targets), targets)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p3_found, p3_report, p5_found, p5_pieces, p5_cover, p7_packed, p7_report, p8_mix, p8_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_validation, p3_found, p3_report, p5_found, p5_pieces, p5_cover, p7_packed, p7_report, p8_mix, p8_report)}
 _VALUES = "SELECT unit_row_id, 'content' AS field_name, content AS v FROM legal_units UNION ALL SELECT unit_row_id, 'bm25_body', bm25_body FROM legal_units"
 ORACLES: dict[str, str] = {
     "p5_found": f"SELECT unit_row_id, field_name FROM ({_VALUES}) WHERE length(v) > 1500",
