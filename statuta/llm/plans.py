@@ -9,6 +9,7 @@ from statuta.llm.canonical import map_to_list, match_report
 from statuta.llm.chunks import oversized, pieces
 from statuta.llm.mixing import mix, mix_report
 from statuta.llm.packing import pack, pack_report
+from statuta.llm.personal import masked, personal_information
 from statuta.llm.residue import residue, validate
 from statuta.llm.scans import odd_words, repaired, scan_defects, text_lines, word_counts
 from statuta.session import load
@@ -88,7 +89,15 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return mix_report(mix(load(spark, d, "documents"), targets), targets)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_validation, p3_found, p3_report, p5_found, p5_pieces, p5_cover, p7_packed, p7_report, p8_mix, p8_report)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal_information(load(spark, d, "documents")).select("doc_id", "kind", "start_pos")
+
+
+def p9_masked(spark: SparkSession, d: str) -> DataFrame:
+    return masked(load(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_validation, p3_found, p3_report, p5_found, p5_pieces, p5_cover, p7_packed, p7_report, p8_mix, p8_report, p9_found, p9_masked)}
 _VALUES = "SELECT unit_row_id, 'content' AS field_name, content AS v FROM legal_units UNION ALL SELECT unit_row_id, 'bm25_body', bm25_body FROM legal_units"
 ORACLES: dict[str, str] = {
     "p5_found": f"SELECT unit_row_id, field_name FROM ({_VALUES}) WHERE length(v) > 1500",
