@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from statuta.session import checkpoint
+
 # What a character (left) is misread as (right); letters of words in lower case.
 MISREADINGS = [
     ("a", "o"), ("a", "@"), ("a", "4"), ("b", "6"), ("b", "8"), ("c", "e"), ("d", "cl"), ("d", "c1"), ("e", "c"), ("g", "q"), ("g", "9"),
@@ -143,10 +145,24 @@ def _bare(word: Column) -> Column:
     return F.when(bare.rlike("[0-9]") & ~bare.rlike(r"\p{L}{2}") & (F.length(bare) <= 6), bare).otherwise(F.lower(bare))
 
 
-def word_counts(lines: DataFrame) -> DataFrame:
-    """(word, n) over the body lines of all rows; words of one letter and over 40 letters are left out."""
-    words = lines.where(~F.col("margin")).select(F.explode(_words(F.col("joined"))).alias("typed")).groupBy("typed").agg(F.count("*").alias("n"))
-    return words.select(_bare(F.col("typed")).alias("word"), "n").where("length(word) between 2 and 40").groupBy("word").agg(F.sum("n").alias("n"))
+def typed_forms(lines: DataFrame) -> DataFrame:
+    """(typed, word, n): every distinct word as typed in the body lines, its bare form, its number.
+
+    Kept in the shared folder: a filter or pattern on words must not be pushed below this count, where
+    it would run for every occurrence.
+    """
+    counted = lines.where(~F.col("margin")).select(F.explode(_words(F.col("joined"))).alias("typed")).groupBy("typed").agg(F.count("*").alias("n"))
+    return checkpoint(counted).select("typed", _bare(F.col("typed")).alias("word"), "n")
+
+
+def word_counts(forms: DataFrame) -> DataFrame:
+    """(word, n) over all rows; words of one letter and over 40 letters are left out."""
+    return checkpoint(forms.where("length(word) between 2 and 40").groupBy("word").agg(F.sum("n").alias("n")))
+
+
+def odd_forms(forms: DataFrame) -> DataFrame:
+    """(typed, word, correction) of every form that was misread; correction is null where none is known."""
+    return checkpoint(forms.select("typed", "word").join(odd_words(word_counts(forms)), "word"))
 
 
 def anagram_hash(word: Column) -> Column:
@@ -233,16 +249,16 @@ _MISREAD_NUMBER = (
 )
 
 
-def _with_odd(words: DataFrame, odd: DataFrame) -> DataFrame:
-    """Inner join of word occurrences with the odd words, by broadcast only below a counted size."""
+def _occurrences(lines: DataFrame, odd: DataFrame) -> DataFrame:
+    """Every occurrence of an odd form in the body lines, by broadcast only below a counted size."""
     small = odd.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
-    return words.join(F.broadcast(odd) if small else odd, "word")
+    typed = lines.where(~F.col("margin")).select("table_name", "row_key", "line_no", "next_no", F.explode(_words(F.col("joined"))).alias("typed"))
+    return typed.join(F.broadcast(odd) if small else odd, "typed")
 
 
 def line_defects(lines: DataFrame, odd: DataFrame) -> DataFrame:
     """(table_name, row_key, line_no, defect): one row per noisy line and defect."""
     keys = ["table_name", "row_key"]
-    body = lines.where(~F.col("margin"))
     plain = lines.where(F.col("margin") | F.col("hyphen") | F.col("joined").rlike(_MISREAD_NUMBER)).select(
         *keys,
         "line_no",
@@ -253,8 +269,7 @@ def line_defects(lines: DataFrame, odd: DataFrame) -> DataFrame:
             )
         ).alias("defect"),
     )
-    typed = body.select(*keys, "line_no", "next_no", F.explode(_words(F.col("joined"))).alias("typed")).where("length(typed) > 1").select("*", _bare(F.col("typed")).alias("word"))
-    hit = _with_odd(typed, odd)
+    hit = _occurrences(lines, odd)
     # a misread word split over two lines: which half differs from the correction
     split = F.contains("typed", F.lit(SPLIT))
     first = F.lower(F.regexp_replace(F.regexp_extract("typed", f"^([^{SPLIT}]*){SPLIT}", 1), f"[{HYPHENS}]$", ""))
@@ -276,7 +291,7 @@ def scan_defects(columns: list[tuple[DataFrame, str, str, str]]) -> DataFrame:
     digits inside are called misread.
     """
     lines = _union(columns)
-    return line_defects(lines, odd_words(word_counts(lines)))
+    return line_defects(lines, odd_forms(typed_forms(lines)))
 
 
 def _union(columns: list[tuple[DataFrame, str, str, str]]) -> DataFrame:
@@ -329,10 +344,8 @@ def repaired(df: DataFrame, key: str, text: str, table_name: str, odd: DataFrame
     A compound broken at its own hyphen keeps it where the joined form is no word of the corpus. Null
     texts stay null, empty ones empty.
     """
-    lines = text_lines(df, key, text, table_name).where(~F.col("margin"))
-    typed = lines.select("row_key", F.explode(_words(F.col("joined"))).alias("typed")).where("length(typed) > 1").select("row_key", _bare(F.col("typed")).alias("word"))
-    known = odd.where("correction is not null")
-    fixes = _with_odd(typed, known).groupBy("row_key").agg(F.map_from_entries(F.collect_set(F.struct("word", "correction"))).alias("fixes"))
+    found = _occurrences(text_lines(df, key, text, table_name), odd.where("correction is not null"))
+    fixes = found.groupBy("row_key").agg(F.map_from_entries(F.collect_set(F.struct("word", "correction"))).alias("fixes"))
     rows = df.select(F.col(key).cast("bigint").alias("row_key"), F.col(text).alias("text")).join(fixes, "row_key", "left")
 
     def run(batches):
