@@ -50,7 +50,7 @@ _PAGE_END = re.compile(rf"\s{{2,}}{_PAGE}$")
 _CATCH_LINE = re.compile(r"^(?:\S+\s){0,4}\S*\s?(?:\.\s?\.\s?\.|…)$")
 _HEADER = re.compile(
     rf"^(?:[A-Z].{{3,70}}[\s.]{_D}{{1,3}}/{_D}{{4}}"  # a short citation on its own line
-    r"|S.?K.{3,5}\s?[0-9A-Za-z]{5,7}(?:\s+[A-Z])?"  # a filing number
+    r"|S.?K.{3,5}\s?[0-9A-Za-z'.,\]]{5,7}(?:[\s.]+[A-Z])?"  # a filing number
     r"|[jJ].?.?h?[.\W\d]\S{3,}[.\W\d]?[eE].{0,2}a?.?ple|(?:www|jdih)\.\S{6,})$"  # a host name
 )
 _CHAPTER = re.compile(r"^B.B\s+[IVXL1l]+\W*$")
