@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from statuta.functions.citation import parse_references
 from statuta.operators.bloom import BloomFilter
 from statuta.operators.spelling import correct_words
+from statuta.session import checkpoint
 
 
 def details_number(link: Column) -> Column:
@@ -125,8 +126,9 @@ def resolve_targets(refs: DataFrame, legal: DataFrame, catalog: DataFrame) -> Da
     parsed = texts.withColumn("r", parse_references(F.col("text"))).select("target", F.lit(None).cast("string").alias("number_link"), "r.*")
     empty = {"names": "true", "form": "cast(null as string)", "number": "cast(null as string)", "year": "cast(null as int)", "code": "cast(null as string)", "title": "cast(array() as array<string>)", "truncated": "false", "glued": "false", "amends": "false", "foreign_form": "false"}
     targets = linked.selectExpr("target", "number_link", *[f"{v} as {k}" for k, v in empty.items()]).unionByName(parsed)
-    docs = _documents(legal, catalog)
-    targets = _correct(targets, docs)
+    # both are read several times below; kept in the shared folder, no text is parsed twice
+    docs = checkpoint(_documents(legal, catalog))
+    targets = checkpoint(_correct(targets, docs))
     parents = _parent_keys(docs)
     keys = BloomFilter(parents.select("key")).probe(_target_keys(targets.where("names")))
     maybe = keys.where("maybe").join(parents, "key")
