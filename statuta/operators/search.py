@@ -46,8 +46,9 @@ def postings(units: DataFrame, key: str = "unit_row_id", body: str = "bm25_body"
     return rows.select(key, F.size("_t").alias("dl"), F.explode("_t").alias("term")).groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
 
 
-def _occurrences(words: Column, term: str) -> Column:
-    return F.size(F.filter(words, lambda t: t == term))
+def _count(low: Column, term: str) -> Column:
+    """Occurrences of a token; the pattern runs only over texts that hold its letters."""
+    return F.when(F.contains(low, F.lit(term)), F.regexp_count(low, F.lit(f"(?<![a-z0-9]){term}(?![a-z0-9])"))).otherwise(0)
 
 
 def bm25(df: DataFrame, query: str, body: str = "bm25_body", score: str = "score") -> DataFrame:
@@ -58,10 +59,10 @@ def bm25(df: DataFrame, query: str, body: str = "bm25_body", score: str = "score
     terms = query_terms(query)
     if not terms:
         return df.withColumn(score, F.lit(0.0)).where("false")
-    counted = df.withColumn("_t", tokens(F.col(body))).where(F.size("_t") > 0)
-    for i, term in enumerate(terms):
-        counted = counted.withColumn(f"_f{i}", _occurrences(F.col("_t"), term))
-    counted = counted.withColumn("_dl", F.size("_t")).drop("_t")
+    # counts by pattern stay in generated code; the token arrays of ``tokens`` would be built row by row
+    low = F.lower(F.col(body))
+    counted = df.select("*", F.regexp_count(low, F.lit("[a-z0-9]+")).alias("_dl"), *[_count(low, term).alias(f"_f{i}") for i, term in enumerate(terms)])
+    counted = counted.where("_dl > 0")
     stats = counted.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_df{i}") for i in range(len(terms))])
     hits = counted.where(reduce(lambda a, b: a & b, [F.col(f"_f{i}") > 0 for i in range(len(terms))])).join(F.broadcast(stats))
     parts = []
