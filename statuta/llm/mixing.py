@@ -17,8 +17,8 @@ from statuta.llm.tokens import VOCABULARY, n_tokens
 from statuta.session import checkpoint
 
 BUCKETS = 4_096
-#: Most rows that the table of targets may have to be broadcast.
-MAX_SOURCES = 100_000
+#: Most target sources for which budgets and bucket sums are broadcast; those of more are joined by shuffle.
+MAX_SOURCES = 500
 
 
 def quality_weight(text: Column) -> Column:
@@ -80,12 +80,17 @@ def mix(
     # read several times below: one pass of the tokenizer, kept in the shared folder
     sized = checkpoint(sized.where("source is not null and n_tokens > 0").withColumn("_key", exponential_key(F.col("_k"), F.col("_w"), seed)).drop("_w"))
     plan = plan_of(sized, targets, total_tokens)
-    placed = sized.join(F.broadcast(plan), "source").withColumn("_bucket", F.floor((1 - F.exp(-F.col("_key"))) * buckets).cast("int"))
+    few = targets.select("source").distinct().limit(MAX_SOURCES + 1).count() <= MAX_SOURCES
+
+    def side(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if few else df
+
+    placed = sized.join(side(plan), "source").withColumn("_bucket", F.floor((1 - F.exp(-F.col("_key"))) * buckets).cast("int"))
     sums = placed.where("rest > 0").groupBy("source", "_bucket").agg(F.sum("n_tokens").alias("_sum"))
     order = Window.partitionBy("source").orderBy("_bucket")
     # rows per source are at most the number of buckets
     sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = placed.join(F.broadcast(sums), ["source", "_bucket"], "left")
+    placed = placed.join(side(sums), ["source", "_bucket"], "left")
     full = placed.where((F.col("rest") > 0) & (F.col("_before") + F.col("_sum") <= F.col("rest"))).withColumn("_more", F.lit(1))
     inside = Window.partitionBy("source", "_bucket").orderBy("_key", "_k").rowsBetween(Window.unboundedPreceding, -1)
     edge = placed.where((F.col("rest") > 0) & (F.col("_before") <= F.col("rest")) & (F.col("_before") + F.col("_sum") > F.col("rest")))
@@ -96,10 +101,8 @@ def mix(
 
 
 def plan_of(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
-    """The budgets of all target sources; the table of targets is checked to be small."""
+    """The budgets of all target sources."""
     known = targets.where("source is not null").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    if known.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} target sources")
     totals = sized.groupBy("source").agg(F.sum("n_tokens").alias("source_tokens"), F.count("*").alias("source_docs"))
     return budgets(totals, known, total_tokens)
 
