@@ -110,8 +110,8 @@ def multi_query_search(spark: SparkSession, d: str) -> DataFrame:
 def reranked_search(spark: SparkSession, d: str) -> DataFrame:
     units = _units(spark, d)
     hits = S.text_search(units, _docs(spark, d), "laporan berkala", limit=40).select("unit_row_id", "score")
-    # stand-in for an external scorer: shorter texts first, some rows without a score
-    outside = units.where("unit_row_id % 5 <> 0").select("unit_row_id", (1000.0 / (1 + F.length("local_content"))).alias("relevance"))
+    # stand-in for an external scorer: shorter texts first, lettered items without a score
+    outside = units.where("unit_type <> 'HURUF'").select("unit_row_id", (1000.0 / (1 + F.length("local_content"))).alias("relevance"))
     return S.rerank(hits, outside, 20, "unit_row_id").select("unit_row_id", "original_rank", "source", F.round("score", 6).alias("score"))
 
 
@@ -200,7 +200,7 @@ SELECT unit_row_id, unit_id, round(s, 6) AS score FROM x ORDER BY s DESC, unit_r
 u AS ({' UNION ALL '.join(f'(SELECT unit_row_id, score, {i} AS query_no FROM b{i} ORDER BY score DESC, unit_row_id LIMIT 10)' for i in range(len(QUERIES_TEXT)))})
 SELECT unit_row_id, query_no, round(s, 6) AS score FROM (SELECT unit_row_id, query_no, score AS s FROM u QUALIFY row_number() OVER (PARTITION BY unit_row_id ORDER BY score DESC, query_no) = 1) ORDER BY s DESC, query_no, unit_row_id LIMIT 20""",
     "reranked_search": f"""{_HITS40}, k AS (SELECT unit_row_id, score, row_number() OVER (ORDER BY score DESC, unit_row_id) - 1 AS original_rank FROM hits),
-x AS (SELECT k.unit_row_id, original_rank, coalesce(1000.0::DOUBLE / (1 + length(local_content)), score) AS s FROM k LEFT JOIN (SELECT * FROM units WHERE unit_row_id % 5 <> 0) o USING (unit_row_id))
+x AS (SELECT k.unit_row_id, original_rank, coalesce(1000.0::DOUBLE / (1 + length(local_content)), score) AS s FROM k LEFT JOIN (SELECT * FROM units WHERE unit_type <> 'HURUF') o USING (unit_row_id))
 SELECT unit_row_id, CAST(original_rank AS INTEGER) AS original_rank, 'reranked' AS source, round(s, 6) AS score FROM x ORDER BY s DESC, unit_row_id LIMIT 20""",
     "term_statistics": """WITH p AS (SELECT unit_row_id, unnest(list_filter(string_split_regex(lower(bm25_body), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM legal_units WHERE bm25_body IS NOT NULL)
 SELECT term, count(DISTINCT unit_row_id) AS df, count(*) AS occurrences FROM p GROUP BY term""",
