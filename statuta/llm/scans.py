@@ -26,7 +26,7 @@ from statuta.session import checkpoint
 # What a character (left) is misread as (right); letters of words in lower case.
 MISREADINGS = [
     ("a", "o"), ("a", "@"), ("a", "4"), ("b", "6"), ("b", "8"), ("c", "e"), ("d", "cl"), ("d", "c1"), ("e", "c"), ("g", "q"), ("g", "9"),
-    ("h", "li"), ("h", "1i"), ("i", "!"), ("i", "]"), ("i", "1"), ("i", "|"), ("j", ";"), ("k", "lc"), ("k", "1c"), ("l", "1"), ("l", "|"), ("m", "rn"),
+    ("h", "li"), ("h", "1i"), ("i", "!"), ("i", "]"), ("i", "1"), ("i", "|"), ("i", "l"), ("j", ";"), ("k", "lc"), ("k", "1c"), ("l", "1"), ("l", "|"), ("l", "i"), ("m", "rn"),
     ("m", "ivi"), ("n", "ri"), ("n", "i\\i"), ("o", "0"), ("r", "k"), ("rn", "m"), ("s", "5"), ("t", "f"), ("t", "7"), ("u", "ii"), ("u", "ij"),
     ("w", "vv"), ("0", "o"), ("0", "O"), ("1", "l"), ("1", "i"), ("1", "I"), ("2", "z"), ("2", "Z"), ("5", "s"), ("5", "S"), ("6", "b"), ("8", "B"),
     ("", "'"), ("", "^"), ("", "~"), ("", ","), ("", "."), ("", "`"), ("", "*"), ("", "|"),
@@ -213,7 +213,7 @@ def _shifts(word: Column) -> Column:
 
 #: A letter word with digits or marks inside, which no code, clause number or amount is.
 _STRANGE = r"\p{L}[0-9@!\]^~'`*|\;.,]+\p{L}|^[0-9@!\]|]+\p{L}{2,}|\p{L}{2,}[0-9@!|\]]+$|\p{L}{2,}[@!\]^~'`|][0-9]*$"
-_CODE = r"^(?:[a-zA-Z]{1,3}[0-9]{1,3}|[0-9]+[A-Z]|rp[0-9.,]+|(?:[a-z]\.)+[a-z]?|[a-z]+\.[a-z]+\.[a-z.]+)$"
+_CODE = r"^(?:[a-z]{1,3}[0-9]{1,3}|[0-9]+[A-HJ-NP-RT-Y]|rp[0-9.,]+|(?:[a-z]\.)+[a-z]?|[a-z]+\.[a-z]+\.[a-z.]+)$"
 
 
 def corrections(counts: DataFrame) -> DataFrame:
@@ -245,6 +245,7 @@ def odd_words(counts: DataFrame) -> DataFrame:
 
 _MISREAD_NUMBER = (
     r"(?:^\s*|ayat )\([lIOZSBsbzo]{1,2}\)|\b(?:Pasal|Nomor|Tahun|lambat|waktu|anggaran|sedikit) [lIOZSBszo]{1,2}\b"
+    r"|\b(?:Nomor|NOMOR|Tahun|TAHUN|lambat|waktu|anggaran) (?=\S*[0-9])[0-9]*B[0-9]*\b|ayat \([0-9]*B[0-9]*\)"
     r"|^\s*B.B [IVXL]*[l1|][IVXLl1|]*\s*$|^\s*(?:BA[86]|8AB) "
 )
 
