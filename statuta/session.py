@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def share_package(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it.
+
+    Enough wherever that path exists on the workers; elsewhere submit the package with ``--py-files``.
+    """
+    root = str(Path(__file__).resolve().parent.parent)
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables as a DataFrame (a file or a folder of part files)."""
+    share_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
