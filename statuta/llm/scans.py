@@ -31,9 +31,9 @@ MISREADINGS = [
     ("w", "vv"), ("0", "o"), ("0", "O"), ("1", "l"), ("1", "i"), ("1", "I"), ("2", "z"), ("2", "Z"), ("5", "s"), ("5", "S"), ("6", "b"), ("8", "B"),
     ("", "'"), ("", "^"), ("", "~"), ("", ","), ("", "."), ("", "`"), ("", "*"), ("", "|"),
 ]
-#: A variant is taken for a correction if it is at least this many times as frequent ...
-RATIO, HIGH_RATIO, HIGH = 5, 20, 20
-#: ... and occurs at least this often.
+#: A variant is taken for a correction if it is on at least this many times as many lines of distinct texts ...
+RATIO = 5
+#: ... and on at least this many.
 FREQUENT = 4
 #: Most corrections that are broadcast; more of them are joined by shuffle.
 BROADCAST_WORDS = 500_000
@@ -111,22 +111,22 @@ def read_lines(text: str) -> list[tuple]:
 
 
 def text_lines(df: DataFrame, key: str, text: str, table_name: str) -> DataFrame:
-    """All lines that are not blank: table_name, row_key, line_no, margin, hyphen, next_no, joined.
+    """All lines that are not blank: table_name, row_key, line_no, margin, hyphen, next_no, joined, text_hash.
 
     Null and empty texts have no lines. A text of one line has no page edge and no line break, so it
     never leaves the JVM.
     """
-    rows = df.select(F.lit(table_name).alias("table_name"), F.col(key).cast("bigint").alias("row_key"), F.col(text).alias("text")).where(F.trim("text") != "")
-    one = rows.where(~F.contains("text", F.lit("\n"))).selectExpr("table_name", "row_key", "1 as line_no", "false as margin", "false as hyphen", "cast(null as int) as next_no", "text as joined")
+    rows = df.select(F.lit(table_name).alias("table_name"), F.col(key).cast("bigint").alias("row_key"), F.col(text).alias("text")).where(F.trim("text") != "").withColumn("text_hash", F.xxhash64("text"))
+    one = rows.where(~F.contains("text", F.lit("\n"))).selectExpr("table_name", "row_key", "1 as line_no", "false as margin", "false as hyphen", "cast(null as int) as next_no", "text as joined", "text_hash")
 
     def run(batches):
         for batch in batches:
-            out = [(t, k, *entry) for t, k, v in zip(batch["table_name"], batch["row_key"], batch["text"], strict=True) for entry in read_lines(v)]
-            frame = pd.DataFrame(out, columns=["table_name", "row_key", "line_no", "margin", "hyphen", "next_no", "joined"])
+            out = [(t, k, *entry, h) for t, k, v, h in zip(batch["table_name"], batch["row_key"], batch["text"], batch["text_hash"], strict=True) for entry in read_lines(v)]
+            frame = pd.DataFrame(out, columns=["table_name", "row_key", "line_no", "margin", "hyphen", "next_no", "joined", "text_hash"])
             frame["next_no"] = frame["next_no"].astype("Int32")
             yield frame
 
-    schema = "table_name string, row_key bigint, line_no int, margin boolean, hyphen boolean, next_no int, joined string"
+    schema = "table_name string, row_key bigint, line_no int, margin boolean, hyphen boolean, next_no int, joined string, text_hash bigint"
     many = rows.where(F.contains("text", F.lit("\n"))).mapInPandas(run, schema)
     return one.unionByName(many)
 
@@ -146,18 +146,23 @@ def _bare(word: Column) -> Column:
 
 
 def typed_forms(lines: DataFrame) -> DataFrame:
-    """(typed, word, n): every distinct word as typed in the body lines, its bare form, its number.
+    """(typed, word, n, n_lines): every distinct word as typed in the body lines, its bare form, its number,
+    and the number of lines that have it in distinct texts, where all copies of a text count as one.
 
     Kept in the shared folder: a filter or pattern on words must not be pushed below this count, where
     it would run for every occurrence.
     """
-    counted = lines.where(~F.col("margin")).select(F.explode(_words(F.col("joined"))).alias("typed")).groupBy("typed").agg(F.count("*").alias("n"))
-    return checkpoint(counted).select("typed", _bare(F.col("typed")).alias("word"), "n")
+    distinct = lines.where(~F.col("margin")).groupBy("text_hash", "line_no", "joined").agg(F.count("*").alias("copies"))
+    words = _words(F.col("joined"))
+    all_of = F.transform(words, lambda w: F.struct(w.alias("typed"), F.col("copies").alias("n"), F.lit(0).cast("bigint").alias("n_lines")))
+    once = F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("typed"), F.lit(0).cast("bigint").alias("n"), F.lit(1).cast("bigint").alias("n_lines")))
+    counted = distinct.select(F.inline(F.concat(all_of, once))).groupBy("typed").agg(F.sum("n").alias("n"), F.sum("n_lines").alias("n_lines"))
+    return checkpoint(counted).select("typed", _bare(F.col("typed")).alias("word"), "n", "n_lines")
 
 
 def word_counts(forms: DataFrame) -> DataFrame:
-    """(word, n) over all rows; words of one letter and over 40 letters are left out."""
-    return checkpoint(forms.where("length(word) between 2 and 40").groupBy("word").agg(F.sum("n").alias("n")))
+    """(word, n, n_lines) over all rows; words of one letter and over 40 letters are left out."""
+    return checkpoint(forms.where("length(word) between 2 and 40").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_lines").alias("n_lines")))
 
 
 def odd_forms(forms: DataFrame) -> DataFrame:
@@ -219,19 +224,23 @@ _CODE = r"^(?:[a-z]{1,3}[0-9]{1,3}|[0-9]+[A-HJ-NP-RT-Y]|rp[0-9.,]+|(?:[a-z]\.)+[
 def corrections(counts: DataFrame) -> DataFrame:
     """(word, correction, cost) of rare words that are a misreading of frequent ones.
 
-    ``counts`` has word and n. Ties fall to the cheaper, then the more frequent, then the smaller word.
+    ``counts`` has word, n and n_lines (taken as n if absent). Ties fall to the cheaper, then the more
+    frequent, then the smaller word. Lines of distinct texts decide, at one ratio whatever their number; two
+    words that both are on fewer than FREQUENT of them are judged by all their occurrences instead.
     """
     word, n = F.col("word"), F.col("n")
     strange = word.rlike(_STRANGE)
-    hashed = counts.select("word", "n", anagram_hash(word).alias("h"))
-    frequent = hashed.where((n >= FREQUENT) & ~strange).select(word.alias("correction"), n.alias("n_frequent"), "h")
-    shifted = hashed.where(~word.rlike(_CODE)).select("word", "n", "h", F.explode(_shifts(word)).alias("s")).select("word", "n", (F.col("h") + F.col("s.delta")).alias("h"), "s.moved", "s.cost")
+    n_lines = F.col("n_lines") if "n_lines" in counts.columns else n
+    hashed = counts.select("word", "n", n_lines.alias("n_lines"), anagram_hash(word).alias("h"))
+    frequent = hashed.where((n >= FREQUENT) & ~strange).select(word.alias("correction"), n.alias("n_frequent"), F.col("n_lines").alias("lines_frequent"), "h")
+    shifted = hashed.where(~word.rlike(_CODE)).select("word", "n", "n_lines", "h", F.explode(_shifts(word)).alias("s")).select("word", "n", "n_lines", (F.col("h") + F.col("s.delta")).alias("h"), "s.moved", "s.cost")
+    told = F.greatest("lines_frequent", "n_lines") >= FREQUENT
     near = shifted.join(frequent, "h").where(
         (word != F.col("correction"))
-        & (strange | (F.col("n_frequent") >= n * F.when(n > HIGH, HIGH_RATIO).otherwise(RATIO)))
+        & (strange | F.when(told, F.col("lines_frequent") >= RATIO * F.col("n_lines")).otherwise(F.col("n_frequent") >= RATIO * n))
         & (F.levenshtein("word", "correction") <= F.col("moved"))
     )
-    order = F.struct(F.col("cost"), -F.col("n_frequent"), F.col("correction"))
+    order = F.struct(F.col("cost"), -F.col("lines_frequent"), -F.col("n_frequent"), F.col("correction"))
     best = near.groupBy("word").agg(F.min_by(F.struct("correction", "cost"), order).alias("b"))
     return best.select("word", "b.correction", "b.cost")
 

@@ -60,6 +60,18 @@ def test_corrections_follow_frequency(spark):
     assert got == {"dalarn": "dalam", "clalam": "dalam", "tahuri": "tahun"}
 
 
+def test_copies_do_not_hide_damage(spark):
+    rng = random.Random(5)
+    clean = [" ".join([*rng.sample(WORDS, 9), f"butir {i}"]) for i in range(60)]
+    damaged = "pemerintah dacrah wajib"
+    for copies in (1, 400):
+        assert found(spark, [*clean, *[damaged] * copies]) == [(60 + i, 1, "glyph") for i in range(copies)]
+    # one ratio, whatever the number
+    for size in (1, 1000):
+        counts = spark.createDataFrame([("kerja", 8 * size), ("kerjo", size), ("kota", 6 * size), ("kata", 2 * size)], "word string, n bigint")
+        assert [(r["word"], r["correction"]) for r in corrections(counts).collect()] == [("kerjo", "kerja")]
+
+
 def test_edge_cases(spark):
     long = " ".join(WORDS * 3_000)
     texts = [None, "", " \n ", long, long, "x" * 200_000, "satu baris"]
