@@ -13,8 +13,8 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 SAMPLE_DOCS, SAMPLE_CHARS, DIMENSIONS, ROUNDS = 3_000, 50_000, 1 << 18, 60
 #: Rounds of message passing.
 SWEEPS = 6
+#: A word is common if it is in lower case in at least this share of as many documents as have it capitalised.
+LOWER_SHARE = 1 / 200
 KINDS = ("name", "email", "phone", "id_number", "address")
 
 _AT = r"(?:\s?(?:@|＠|\(at\)|\[at\]|\{at\})\s?|\s(?:at|AT)\s(?=[\w-]+(?:\(dot\)|\[dot\]|\s?\[dot\]|\s?\(dot\)|\.[A-Za-z]{2,})))"
@@ -61,6 +63,8 @@ _ID_LABELS = ("nik", "ktp", "kependudukan", "npwp", "pajak", "nip", "paspor", "p
 _OTHER_LABELS = ("rekening", "registrasi", "wilayah", "indeks", "surat", "putusan", "lembaran", "dokumen", "daerah", "kode", "rp", "seri", "invoice", "pos")
 
 _SKIPPED = _NEVER | _TITLES
+# Words inside names that are in lower case.
+_LINKS = ("bin", "binti")
 
 
 class Node:
@@ -219,14 +223,34 @@ def weak_number(node: Node, text: str) -> int | None:
     return None
 
 
-def common_words(texts: list[str]) -> frozenset[str]:
-    """Words that occur in lower case in the sample: no names."""
-    counts: Counter = Counter()
+def word_uses(texts: Iterable[str]) -> dict[str, list[int]]:
+    """Per word the number of texts that have it in lower case, and of those that have it capitalised."""
+    uses: dict[str, list[int]] = defaultdict(lambda: [0, 0])
     for t in texts:
         plain = _EMAIL.sub(" ", t) if any(a in t for a in _AT_SIGNS) else t
-        counts.update(set(_LOWER.findall(plain)))
-    least = 1 if len(texts) < 300 else 2
-    return frozenset(w for w, n in counts.items() if n >= least and w not in ("bin", "binti"))
+        for w in set(_LOWER.findall(plain)):
+            uses[w][0] += 1
+        for w in {w.lower() for w in _WORD.findall(plain)}:
+            uses[w][1] += 1
+    return uses
+
+
+def common_words(texts: list[str]) -> frozenset[str]:
+    """Capitalised words that also occur in lower case, in LOWER_SHARE as many texts at least: no names."""
+    return frozenset(w for w, (low, high) in word_uses(texts).items() if low and high and low >= LOWER_SHARE * high and w not in _LINKS)
+
+
+def corpus_common_words(df: DataFrame, text: str) -> frozenset[str]:
+    """``common_words`` of all texts of a table, whatever their number and length; null and empty texts count nothing."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(w, *n) for w, n in word_uses(batch["t"]).items()], columns=["word", "low", "high"])
+
+    rows = df.where(F.length(F.trim(text)) > 0).select(F.col(text).alias("t"))
+    uses = rows.mapInPandas(run, "word string, low bigint, high bigint").groupBy("word").agg(F.sum("low").alias("low"), F.sum("high").alias("high"))
+    common = uses.where((F.col("low") > 0) & (F.col("high") > 0) & (F.col("low") >= LOWER_SHARE * F.col("high")) & ~F.col("word").isin(*_LINKS))
+    return frozenset(r["word"] for r in common.select("word").collect())
 
 
 def skip_links(nodes: list[Node]) -> None:
@@ -365,9 +389,13 @@ def _fit(own: list, ctx: list, y: np.ndarray, extra: np.ndarray, classes: int, r
     return w, edge
 
 
-def fit(texts: list[str], seed: int = 7) -> Model:
-    """The model of a sample of texts. A sample without names or numbers leaves their weights at zero."""
-    common = common_words(texts)
+def fit(texts: list[str], seed: int = 7, common: frozenset[str] | None = None) -> Model:
+    """The model of a sample of texts, with the common words of their corpus (else of the sample).
+
+    A sample without names or numbers leaves their weights at zero.
+    """
+    if common is None:
+        common = common_words(texts)
     rng = np.random.default_rng(seed)
     own, ctx, y, spins = [], [], [], []
     nown, nctx, ny = [], [], []
@@ -408,12 +436,15 @@ def fit(texts: list[str], seed: int = 7) -> Model:
 
 
 def train(df: DataFrame, key: str, text: str, sample: int = SAMPLE_DOCS) -> Model:
-    """The model, fitted on about ``sample`` documents of up to SAMPLE_CHARS characters, drawn by hash of the key."""
+    """The model, fitted on about ``sample`` documents of up to SAMPLE_CHARS characters, drawn by hash of the key.
+
+    Only weights come from the sample; the common words are counted over all documents.
+    """
     usable = df.where((F.length(F.trim(text)) > 0) & (F.length(text) <= SAMPLE_CHARS))
     n = usable.count()
     share = min(1.0, sample / max(n, 1))
     drawn = usable.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < share * (1 << 20)).select(text).limit(2 * sample)
-    return fit([r[0] for r in drawn.collect()])
+    return fit([r[0] for r in drawn.collect()], common=corpus_common_words(df, text))
 
 
 def personal_information(df: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE_DOCS) -> DataFrame:

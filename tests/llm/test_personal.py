@@ -55,6 +55,18 @@ def test_planted(spark):
     assert len(got & want) >= 0.97 * len(want) and len(got & want) >= 0.97 * len(got)
 
 
+def test_common_words_of_all_documents(spark):
+    rng = random.Random(4)
+    texts = [document(rng)[0] for _ in range(400)]
+    # lower case only in documents beyond the sample: too long for it, or not drawn
+    texts += [RULE * 700 + "surat edaran berlaku.", *["Surat Edaran berlaku. Hadir Sumedha Olenrio."] * 150]
+    # a name part in lower case in two documents of many
+    texts += ["Saksi pertama bernama Sumedha Olenrio."] * 450 + ["tertulis sumedha saja."] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    common = train(df, "doc_id", "text", 300).common
+    assert "edaran" in common and "sumedha" not in common
+
+
 def test_skip_edges_carry_evidence():
     rng = random.Random(2)
     model = fit([document(rng)[0] for _ in range(400)])
