@@ -170,6 +170,21 @@ def odd_forms(forms: DataFrame) -> DataFrame:
     return checkpoint(forms.select("typed", "word").join(odd_words(word_counts(forms)), "word"))
 
 
+def broken_compounds(forms: DataFrame) -> DataFrame:
+    """(typed, keeps) of every word broken at a hyphen that the corpus has whole: whether the hyphen is its own.
+
+    It is if the form with the hyphen is on more lines of distinct texts than the joined form; only words
+    that are not broken themselves are evidence.
+    """
+    plain = F.regexp_replace("word", f"[{HYPHENS}]", "-")
+    whole = forms.where(~F.contains("typed", F.lit(SPLIT))).groupBy(plain.alias("form")).agg(F.sum("n_lines").alias("n_form"))
+    broken = forms.where(F.contains("typed", F.lit(SPLIT)))
+    hyphened = _bare(F.regexp_replace("typed", f"[{HYPHENS}]?{SPLIT}", "-"))
+    both = broken.select("typed", F.explode(F.array(F.struct(F.lit(True).alias("own"), F.regexp_replace(hyphened, f"[{HYPHENS}]", "-").alias("form")), F.struct(F.lit(False).alias("own"), plain.alias("form")))).alias("f"))
+    counted = both.select("typed", "f.own", "f.form").join(whole, "form").groupBy("typed").agg(F.sum(F.when(F.col("own"), F.col("n_form")).otherwise(-F.col("n_form"))).alias("more"))
+    return checkpoint(counted.select("typed", (F.col("more") > 0).alias("keeps")))
+
+
 def anagram_hash(word: Column) -> Column:
     """Sum of the fifth powers of the character codes: equal for anagrams, shifted by misreadings."""
 
@@ -312,20 +327,23 @@ def _union(columns: list[tuple[DataFrame, str, str, str]]) -> DataFrame:
     return out
 
 
-# First halves of compounds that keep their hyphen (besides doubled words).
+# Compounds that keep their hyphen where the corpus has neither form whole (besides doubled words).
 _COMPOUND = re.compile(rf"\b(\w{{3,}}|perundang|kehati|sebaik)-{SPLIT}(?i:(\1|undangan|hatian|baiknya))")
+_BROKEN_WORD = re.compile(rf"[^ \t\r/–—]*{SPLIT}[^ \t\r/–—]*")
 _OPENS = re.compile(r"^\s*(?:BAB\b|Pasal\b|\(\S{1,3}\)|[a-z]\.\s|\d+\.\s)")
 
 
-def paragraphs(text: str, fixes: dict[str, str]) -> str:
-    """The text without furniture, its words whole and corrected, one paragraph to a line."""
+def paragraphs(text: str, fixes: dict[str, str], hyphens: dict[str, bool] | None = None) -> str:
+    """The text without furniture, its words whole and corrected, one paragraph to a line.
+
+    ``hyphens`` says of broken words whether the hyphen is their own; of others a fixed pattern does.
+    """
     out: list[str] = []
     kept = None
     for line_no, margin, _, _, joined in read_lines(text):
         if margin or not joined.strip():
             continue
-        whole = _COMPOUND.sub(r"\1-\2", joined) if _COMPOUND.search(joined) else joined
-        whole = re.sub(f"[{HYPHENS}]{SPLIT}", "", whole)
+        whole = _BROKEN_WORD.sub(lambda m: _mended(m[0], hyphens or {}), joined)
         words = [_fixed(w, fixes) for w in whole.split()]
         line = " ".join(words)
         if kept is None or _OPENS.match(line) or (kept.endswith((".", ";", ":")) and line[:1].isupper()) or _OPENS.match(kept) and len(kept) < 16:
@@ -336,6 +354,13 @@ def paragraphs(text: str, fixes: dict[str, str]) -> str:
     return "\n".join(out)
 
 
+def _mended(typed: str, hyphens: dict[str, bool]) -> str:
+    keeps = hyphens.get(typed)
+    if keeps is None:
+        typed = _COMPOUND.sub(r"\1-\2", typed)
+    return re.sub(f"[{HYPHENS}]{SPLIT}", "-" if keeps else "", typed)
+
+
 def _fixed(typed: str, fixes: dict[str, str]) -> str:
     bare = re.sub(_OUTER, "", typed)
     right = fixes.get(bare.lower()) or fixes.get(bare)
@@ -348,19 +373,29 @@ def _fixed(typed: str, fixes: dict[str, str]) -> str:
     return typed.replace(bare, right, 1)
 
 
-def repaired(df: DataFrame, key: str, text: str, table_name: str, odd: DataFrame) -> DataFrame:
+def repaired(df: DataFrame, key: str, text: str, table_name: str, odd: DataFrame, compounds: DataFrame | None = None) -> DataFrame:
     """(table_name, row_key, text): each text repaired into continuous readable paragraphs.
 
-    A compound broken at its own hyphen keeps it where the joined form is no word of the corpus. Null
-    texts stay null, empty ones empty.
+    A compound broken at its own hyphen keeps it where ``compounds`` (see broken_compounds) says so; a
+    word of which the corpus has neither form whole is joined, unless it is doubled or in a fixed list.
+    Null texts stay null, empty ones empty.
     """
-    found = _occurrences(text_lines(df, key, text, table_name), odd.where("correction is not null"))
-    fixes = found.groupBy("row_key").agg(F.map_from_entries(F.collect_set(F.struct("word", "correction"))).alias("fixes"))
+    marks = odd.where("correction is not null").selectExpr("typed", "word", "correction", "cast(null as boolean) as keeps")
+    if compounds is not None:
+        marks = marks.unionByName(compounds.selectExpr("typed", "cast(null as string) as word", "cast(null as string) as correction", "keeps"))
+    found = _occurrences(text_lines(df, key, text, table_name), marks)
+    fixes = found.groupBy("row_key").agg(
+        F.map_from_entries(F.collect_set(F.when(F.col("word").isNotNull(), F.struct("word", "correction")))).alias("fixes"),
+        F.map_from_entries(F.collect_set(F.when(F.col("keeps").isNotNull(), F.struct("typed", "keeps")))).alias("hyphens"),
+    )
     rows = df.select(F.col(key).cast("bigint").alias("row_key"), F.col(text).alias("text")).join(fixes, "row_key", "left")
 
     def run(batches):
         for batch in batches:
-            texts = [paragraphs(t, dict(f) if f is not None else {}) if t is not None else None for t, f in zip(batch["text"], batch["fixes"], strict=True)]
+            texts = [
+                paragraphs(t, dict(f) if f is not None else {}, dict(h) if h is not None else {}) if t is not None else None
+                for t, f, h in zip(batch["text"], batch["fixes"], batch["hyphens"], strict=True)
+            ]
             yield pd.DataFrame({"table_name": table_name, "row_key": batch["row_key"], "text": texts})
 
     return rows.mapInPandas(run, "table_name string, row_key bigint, text string")

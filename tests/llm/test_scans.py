@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from statuta.llm.scans import MISREADINGS, corrections, is_margin, odd_forms, paragraphs, read_lines, repaired, scan_defects, text_lines, typed_forms, word_counts
+from statuta.llm.scans import MISREADINGS, broken_compounds, corrections, is_margin, odd_forms, paragraphs, read_lines, repaired, scan_defects, text_lines, typed_forms, word_counts
 
 WORDS = "pemerintah daerah wajib menyampaikan laporan berkala kepada masyarakat sesuai dengan ketentuan perizinan lingkungan hidup".split()
 SCHEMA = "k bigint, text string, table_name string, word string"
@@ -90,3 +90,11 @@ def test_repair(spark):
     assert out[31] is None and out[32] == "" and len(out) == len(texts)
     assert paragraphs("sebaik-\nbaiknya dan kehati-\nhatian", {}) == "sebaik-baiknya dan kehati-hatian"
     assert word_counts(typed_forms(text_lines(df, "k", "text", "t"))).where(F.col("word") == "daerah").first()["n"] == 31
+
+
+def test_hyphen_evidence(spark):
+    texts = ["dampak sosial-ekonomi dan sosial-ekonomi", "sektor non-formal", "kerja sama dan nonblok", "dampak sosial-\nekonomi, sektor non-\nformal dan masya-\nrakat non-\nblok"]
+    df = frame(spark, texts)
+    forms = typed_forms(text_lines(df, "k", "text", "t"))
+    out = {r["row_key"]: r["text"] for r in repaired(df, "k", "text", "t", odd_forms(forms), broken_compounds(forms)).collect()}
+    assert out[3] == "dampak sosial-ekonomi, sektor non-formal dan masyarakat nonblok"
