@@ -5,24 +5,35 @@ worker: words under all strings that deleting up to two letters leaves, entries
 typed value is read into form, number, year and title words; each word is looked up through its own
 deletions, the survivors are ranked by a weighted Damerau-Levenshtein distance, entries by the sum over
 their words and then by how often they are referred to. Values that mean no entry are reported.
+
+Every answer carries its rank, a total order over all entries. A list too long for one broadcast is
+cut into shards that share one vocabulary, and the best rank over all shards is the answer, so the number
+of shards changes nothing.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.functions.citation import Reference, read_reference
+from statuta.functions.citation import Reference, parse_references, read_reference
 
 UNMATCHED = "UNMATCHED"
 #: Most entries of a reference list that are broadcast at once; a longer list is looked up in shards.
 MAX_ENTRIES = 200_000
+#: Most distinct words of a sharded list (its vocabulary is broadcast whole); more of them fail the query.
+MAX_WORDS = 3_000_000
+#: Most distinct values that meet a shard in one task.
+BLOCK = 100_000
+#: Edits up to which a title typed without blanks is looked for.
+GLUED_EDITS = 3
 #: Sum of word distances up to which a title counts as the entry's title, and its share of the words.
 TITLE_COST, COST_PER_WORD = 2.6, 0.4
 VOWELS = set("aeiou")
@@ -72,35 +83,50 @@ def edits_allowed(word: str) -> int:
 
 
 class Dictionary:
-    """The symmetric-delete index of a reference list of (doc_id, title, frequency)."""
+    """The symmetric-delete index of reference entries (doc_id, title, frequency).
+
+    ``vocabulary`` counts the words of the whole list where ``entries`` are only a shard of it.
+    """
 
-    def __init__(self, entries: list[tuple[str, str, int]]) -> None:
+    def __init__(self, entries: list[tuple[str, str, int]], vocabulary: dict[str, int] | None = None) -> None:
         self.codes: dict[str, str] = {}
         self.frequency: dict[str, int] = {}
         self.titles: dict[str, list[str]] = {}
         self.by_words: dict[str, list[str]] = defaultdict(list)
         self.by_glue: dict[str, list[str]] = defaultdict(list)
         self.by_word: dict[str, set[str]] = defaultdict(set)
-        self.words: Counter = Counter()
+        self.words: Counter = Counter(vocabulary or {})
         for doc_id, title, frequency in entries:
             self.codes[doc_id.upper()] = doc_id
             self.frequency[doc_id] = frequency
             words = read_reference(title).title
             self.titles[doc_id] = words
             self.by_words[" ".join(sorted(words))].append(doc_id)
-            self.by_glue["".join(w for w in words)].append(doc_id)
-            self.words.update(words)
+            self.by_glue["".join(words)].append(doc_id)
+            if vocabulary is None:
+                self.words.update(words)
             for w in words:
                 self.by_word[w].add(doc_id)
+        plain = [w for w in self.words if w and not w.startswith("#")]
         self.deletes: dict[str, list[str]] = defaultdict(list)
-        for w in self.words:
-            if not w.startswith("#"):
-                for d in deletions(w, edits_allowed(w)):
-                    self.deletes[d].append(w)
+        for w in plain:
+            for d in deletions(w, edits_allowed(w)):
+                self.deletes[d].append(w)
+        self.sorted = sorted(plain)
+        self.by_letter: dict[tuple[str, str], set[str]] = defaultdict(set)
+        for w in plain:
+            for c in set(w[1:]):
+                self.by_letter[w[0], c].add(w)
+        self.segments: dict[tuple[int, int, str], list[str]] = defaultdict(list)
+        for glue in self.by_glue:
+            for i, (at, part) in enumerate(_parts(glue)):
+                if part:
+                    self.segments[len(glue), i, part].append(glue)
+                del at
         self.spell = functools.lru_cache(200_000)(self._spell)
 
     def _spell(self, word: str) -> tuple[tuple[str, float], ...]:
-        """Words of the list that ``word`` may stand for, with their cost, best first."""
+        """All words of the list that ``word`` may stand for, with their cost, best first."""
         if word in self.words:
             return ((word, 0.0),)
         if word.startswith("#"):
@@ -109,23 +135,34 @@ class Dictionary:
             stem = word[:-1]
             if stem in self.words:
                 return ((stem, 0.0),)
-            full = [w for w in self.words if len(w) > len(stem) and w.startswith(stem)]
-            if not full and len(stem) >= 2:
-                full = [w for w in self.words if len(w) > len(stem) and w[0] == stem[0] and _within(stem, w)]
+            full = self.expansions(stem)
             if full:
-                full.sort(key=lambda w: (-self.words[w], w))
-                return tuple((w, 0.1 + 0.05 * i) for i, w in enumerate(full[:4]))
+                return tuple((w, 0.1) for w in sorted(full, key=lambda w: (-self.words[w], w)))
             word = stem
         most = edits_allowed(word)
         found = {w for d in deletions(word, most) for w in self.deletes.get(d, ())}
         ranked = sorted((weighted_distance(word, w, most + 0.5), -self.words[w], w) for w in found)
-        return tuple((w, c) for c, _, w in ranked if c <= most + 0.3)[:6]
+        return tuple((w, c) for c, _, w in ranked if c <= most + 0.3)
+
+    def expansions(self, stem: str) -> list[str]:
+        """Words that begin with ``stem``; if there are none, words that start like it and have its letters in order."""
+        if not stem:
+            return []
+        full, at = [], bisect.bisect_right(self.sorted, stem)
+        while at < len(self.sorted) and self.sorted[at].startswith(stem):
+            full.append(self.sorted[at])
+            at += 1
+        if full or len(stem) < 2:
+            return full
+        pools = sorted((self.by_letter.get((stem[0], c), set()) for c in set(stem[1:])), key=len)
+        return [w for w in set.intersection(*pools) if len(w) > len(stem) and _within(stem, w)]
 
     def cost(self, words: list[tuple[str, tuple]], doc_id: str) -> float:
         """Distance of typed words (each with its readings) from the title of an entry, in any order."""
         left = Counter(self.titles[doc_id])
         total, odd = 0.0, []
-        for typed, readings in words:
+        # words typed in full come first, so that no abbreviation takes theirs
+        for typed, readings in sorted(words, key=lambda w: not w[1] or w[1][0][1] > 0.0):
             for w, c in readings:
                 if left[w] > 0:
                     left[w] -= 1
@@ -146,57 +183,69 @@ class Dictionary:
                 total += 1.5
         return total + 1.5 * len(rest)
 
-    def by_title(self, ref: Reference, known: frozenset[str]) -> tuple[list[str], float]:
-        """Entries whose title the words of ``ref`` give, all of equal cost, and that cost."""
+    def by_title(self, ref: Reference, known: frozenset[str]) -> tuple[list[str], int, float]:
+        """Entries whose title the words of ``ref`` give, all of equal cost; the stage that found them; that cost."""
         title = ref.title
         exact = self.by_words.get(" ".join(sorted(title)))
         if exact:
-            return exact, 0.0
+            return exact, 0, 0.0
         if ref.glued:
             glue = "".join(title).replace(".", "")
             if glue in self.by_glue:
-                return self.by_glue[glue], 0.0
+                return self.by_glue[glue], 1, 0.0
             return self._glued(glue)
         words = self.readings(title, known)
-        plain = self.by_words.get(" ".join(sorted(r[0][0] for _, r in words if r)))
-        if plain and all(r for _, r in words):
-            return plain, sum(r[0][1] for _, r in words)
+        if all(r for _, r in words):
+            plain = self.by_words.get(" ".join(sorted(r[0][0] for _, r in words)))
+            if plain:
+                return plain, 2, sum(r[0][1] for _, r in words)
         if ref.truncated:
             return self._truncated(title, words)
-        votes: Counter = Counter()
-        for _, readings in words:
-            for doc_id in {d for w, _ in readings for d in (self.by_word[w] if w in self.by_word else ())}:
-                votes[doc_id] += 1
-        need = max(2, len(title) - 2)
-        ranked = sorted((self.cost(words, d), d) for d, v in votes.items() if v >= need)
+        ranked = sorted((round(self.cost(words, d), 6), d) for d in self._voted(title, words))
         if not ranked or ranked[0][0] > min(TITLE_COST, COST_PER_WORD * len(title)):
             # a value cut short without a mark
-            return self._truncated(title, words) if title[-1] not in self.words and title[-1] not in known else ([], 9.0)
-        return [d for c, d in ranked if c <= ranked[0][0] + 1e-9], ranked[0][0]
-
-    def _glued(self, glue: str) -> tuple[list[str], float]:
-        limit, found = 3.0, []
-        for other, docs in self.by_glue.items():
-            if abs(len(other) - len(glue)) <= 2 and (other[:6] == glue[:6] or other[-6:] == glue[-6:]):
-                c = weighted_distance(glue, other, limit)
-                if c < limit:
-                    limit, found = c, docs
-        return found, limit if found else 9.0
+            return self._truncated(title, words) if title[-1] not in self.words and title[-1] not in known else ([], 9, 9.0)
+        return [d for c, d in ranked if c == ranked[0][0]], 3, ranked[0][0]
+
+    def _voted(self, title: list[str], words: list[tuple[str, tuple]]) -> list[str]:
+        """Entries that lack at most two of the typed words (and have two at least).
+
+        An entry with ``need`` of n words has one of any n - need + 1 of them, so only the rarest so
+        many words are opened.
+        """
+        need = max(2, len(title) - 2)
+        having = sorted(((set().union(*(self.by_word.get(w, ()) for w, _ in r)) if len(r) != 1 else self.by_word.get(r[0][0], set())) for _, r in words), key=len)
+        pool = set().union(*having[: len(having) - need + 1]) if len(having) >= need else set()
+        return [d for d in pool if sum(d in h for h in having) >= need]
+
+    def _glued(self, glue: str) -> tuple[list[str], int, float]:
+        """Entries whose title without blanks is within GLUED_EDITS edits (swaps included), through shared segments.
+
+        An edit touches at most two of the 2 x GLUED_EDITS + 1 segments of a title, so one of them is left whole.
+        """
+        near = set()
+        for size in range(len(glue) - GLUED_EDITS, len(glue) + GLUED_EDITS + 1):
+            for i, (at, part) in enumerate(_parts("x" * max(size, 0))):
+                for start in range(max(0, at - GLUED_EDITS), at + GLUED_EDITS + 1):
+                    piece = glue[start : start + len(part)]
+                    if part and len(piece) == len(part):
+                        near.update(self.segments.get((size, i, piece), ()))
+        costs = sorted((round(weighted_distance(glue, other, 3.0), 6), other) for other in near)
+        if not costs or costs[0][0] >= 3.0:
+            return [], 9, 9.0
+        return [d for c, other in costs if c == costs[0][0] for d in self.by_glue[other]], 3, costs[0][0]
 
     def readings(self, title: list[str], known: frozenset[str]) -> list[tuple[str, tuple]]:
         return [(w, ((w, 0.0),) if w in known and w not in self.words else self.spell(w)) for w in title]
 
-    def _truncated(self, title: list[str], words: list[tuple[str, tuple]]) -> tuple[list[str], float]:
+    def _truncated(self, title: list[str], words: list[tuple[str, tuple]]) -> tuple[list[str], int, float]:
         """Entries whose title begins with the typed words, the last of which may be cut short."""
         if len(title) < 3:
-            return [], 9.0
-        pool = None
-        for _, readings in words[:-1]:
-            docs = {d for w, _ in readings for d in self.by_word[w]}
-            pool = docs if pool is None else pool & docs
+            return [], 9, 9.0
+        pools = sorted(({d for w, _ in readings for d in self.by_word.get(w, ())} for _, readings in words[:-1]), key=len)
         last = title[-1].rstrip(".")
         out = []
-        for d in pool or ():
+        for d in set.intersection(*pools):
             full = self.titles[d]
             if len(full) < len(title):
                 continue
@@ -208,40 +257,54 @@ class Dictionary:
                 total += c
             else:
                 if full[len(title) - 1].startswith(last):
-                    out.append((total, d))
+                    out.append((round(total, 6), d))
         out.sort()
-        return ([d for c, d in out if c <= out[0][0] + 1e-9], out[0][0]) if out else ([], 9.0)
+        return ([d for c, d in out if c == out[0][0]], 4, out[0][0]) if out else ([], 9, 9.0)
 
-    def resolve(self, text: str | None, known: frozenset[str] = frozenset()) -> tuple[str, str, float]:
-        """(doc_id or UNMATCHED, how it was found, cost) of one typed value.
+    def answer(self, text: str | None, known: frozenset[str] = frozenset()) -> tuple:
+        """(doc_id or UNMATCHED, how, cost, rank) of one typed value; the smallest rank of all shards is the answer.
 
-        ``known`` holds words of the text that are good words elsewhere and so are never corrected.
+        ``known`` holds words of the text that are good words elsewhere and so are never corrected. The
+        rank is (stage, cost, disagreement in form, number and year, other word order, -frequency, doc_id).
         """
         ref = read_reference(text)
         if not ref.names:
-            return UNMATCHED, "names nothing", 0.0
+            return _missed("names nothing")
         coded = self.codes.get(ref.code.upper()) if ref.code else None
         if not ref.title:
-            return (coded, "code", 0.0) if coded else (UNMATCHED, "code not in list", 0.0)
-        found, cost = self.by_title(ref, known)
+            return self._best([coded], ref, "code", 0, 0.0) if coded else _missed("code not in list")
+        found, stage, cost = self.by_title(ref, known)
         if found:
-            return self._best(found, ref), "title", cost
+            return self._best(found, ref, "title", stage, cost)
         if coded:
             miss = self.cost(self.readings(ref.title, known), coded)
             if miss <= 0.5 * max(len(ref.title), len(self.titles[coded])):
-                return coded, "code and similar title", miss
-        return UNMATCHED, "title not in list", 0.0
+                return self._best([coded], ref, "code and similar title", 5, miss)
+        return _missed("title not in list")
 
-    def _best(self, found: list[str], ref: Reference) -> str:
-        if len(found) == 1:
-            return found[0]
+    def resolve(self, text: str | None, known: frozenset[str] = frozenset()) -> tuple[str, str, float]:
+        """(doc_id or UNMATCHED, how it was found, cost) of one typed value."""
+        return self.answer(text, known)[:3]
 
+    def _best(self, found: list[str], ref: Reference, how: str, stage: int, cost: float) -> tuple:
         def rank(d: str) -> tuple:
             form, year, number = d.split("-")[0], d.split("-")[1] if d.count("-") >= 2 else "", d.rsplit("-", 1)[-1]
             agree = (form == ref.form) + (number == ref.number) + (year == str(ref.year))
-            return -agree, self.titles[d] != ref.title, -self.frequency[d], d
+            return stage, round(cost, 6), 3 - agree, int(self.titles[d] != ref.title), -self.frequency[d], d
+
+        best = min(rank(d) for d in found)
+        return best[-1], how, cost, best
+
+
+def _missed(how: str) -> tuple:
+    return UNMATCHED, how, 0.0, (9, 0.0, 0, 0, 0, UNMATCHED)
 
-        return min(found, key=rank)
+
+def _parts(text: str) -> list[tuple[int, str]]:
+    """``text`` in 2 x GLUED_EDITS + 1 segments of nearly equal length, each with its start."""
+    n = 2 * GLUED_EDITS + 1
+    cuts = [len(text) * i // n for i in range(n + 1)]
+    return [(a, text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def _within(short: str, long: str) -> bool:
@@ -249,15 +312,6 @@ def _within(short: str, long: str) -> bool:
     return all(c in rest for c in short)
 
 
-def _shards(catalog: DataFrame, limit: int) -> list[DataFrame]:
-    """The list (columns k, t) in parts of at most about ``limit`` entries, by hash of the key."""
-    n = catalog.count()
-    if n <= limit:
-        return [catalog]
-    parts = -(-5 * n // (4 * limit))  # a quarter of room for uneven parts
-    return [catalog.where(F.pmod(F.xxhash64("k"), F.lit(parts)) == i) for i in range(parts)]
-
-
 def map_to_list(
     values: DataFrame,
     catalog: DataFrame,
@@ -275,70 +329,96 @@ def map_to_list(
     not null; repeated values get equal answers; blank and placeholder texts and texts of any length are
     UNMATCHED with how = "names nothing" unless they name an entry; an empty catalog leaves all
     UNMATCHED. Ties between entries fall to the one that agrees in form, number and year, then to the one
-    referred to most often, then to the smaller key. Words that occur in ``other_titles`` (column
-    ``title``) are good words, so they are never corrected into a word of the catalog.
+    in the same word order, then to the one referred to most often, then to the smaller key. Words that
+    occur in ``other_titles`` (column ``title``) are good words, so they are never corrected into a word of
+    the catalog. A list longer than ``max_entries`` is looked up in shards, with the same answers; a value
+    that a third of the rows share is looked up once.
     """
+    spark = values.sparkSession
     rows = values.where(F.col(value).isNotNull()).select(F.col(value_key).alias("k"), F.col(value).alias("v"))
+    distinct = rows.groupBy("v").agg(F.count("*").alias("n"))
     code = F.upper(F.trim("v"))
-    frequency = (
-        rows.where(code.rlike(r"^[A-Z]+-\d{4}-\d+$")).groupBy(code.alias("k")).agg(F.count("*").alias("n"))
-    )
+    frequency = distinct.where(code.rlike(r"^[A-Z]+-\d{4}-\d+$")).groupBy(code.alias("k")).agg(F.sum("n").alias("n"))
     listed = catalog.select(F.col(key).alias("k"), F.col(title).alias("t")).where("k is not null and t is not null")
-    shards = _shards(listed, max_entries)
+    n_listed = listed.count()
     words = F.array_distinct(F.regexp_extract_all(F.lower("v"), F.lit(r"[\p{L}\p{N}]+"), 0))
     if other_titles is not None:
         own = listed.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(r"[\p{L}\p{N}]+"), 0))).alias("w")).distinct()
         good = other_titles.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(title), F.lit(r"[\p{L}\p{N}]{4,}"), 0))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
         # the words of the list, which are most words, leave before anything is shuffled
-        odd = rows.select("k", F.explode(words).alias("w")).join(F.broadcast(own) if len(shards) == 1 else own, "w", "left_anti")
-        known = odd.join(good, "w", "left_semi").groupBy("k").agg(F.collect_set("w").alias("known"))
-        rows = rows.join(known, "k", "left")
+        odd = distinct.select("v", F.explode(words).alias("w")).join(F.broadcast(own) if n_listed <= max_entries else own, "w", "left_anti")
+        known = odd.join(good, "w", "left_semi").groupBy("v").agg(F.sort_array(F.collect_set("w")).alias("known"))
+        distinct = distinct.select("v").join(known, "v", "left")
+    else:
+        distinct = distinct.select("v", F.lit(None).cast("array<string>").alias("known"))
+    counted = listed.join(frequency, "k", "left").select("k", "t", F.coalesce("n", F.lit(0)).alias("n"))
+    if n_listed <= max_entries:
+        # a fixed number of parts: the size of the rows, which adaptive execution would go by, says little of the work
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        answers = _looked_up(distinct.repartition(parts, "v"), counted)
     else:
-        rows = rows.withColumn("known", F.lit(None).cast("array<string>"))
-    kind = values.schema[value_key].dataType.simpleString()
-    if len(shards) == 1:
-        return _looked_up(rows.withColumn("n", F.lit(1)), shards[0].join(frequency, "k", "left"), value_key, kind).drop("v", "n")
-    counted = rows.groupBy("k", "v", "known").agg(F.count("*").cast("int").alias("n"))
-    both = reduce(DataFrame.unionByName, [_looked_up(counted, s.join(frequency, "k", "left"), value_key, kind) for s in shards])
-    # a value that a shard knows beats one it does not; then the smaller distance, codes first
-    order = F.struct((F.col("doc_id") == UNMATCHED).alias("u"), (F.col("how") == "code and similar title").alias("s"), "cost", "doc_id")
-    best = both.groupBy(value_key, "v", "n").agg(F.min_by(F.struct("doc_id", "how", "cost"), order).alias("b"))
-    return best.select(value_key, "b.*", F.explode(F.array_repeat(F.lit(0), F.col("n"))).alias("_copy")).drop("_copy")
-
-
-def _looked_up(rows: DataFrame, shard: DataFrame, value_key: str, kind: str) -> DataFrame:
-    """The answers of one shard of the list."""
-    entries = sorted((r["k"], r["t"], int(r["n"] or 0)) for r in shard.collect())
-    shared = rows.sparkSession.sparkContext.broadcast(entries)
+        answers = _looked_up_in_shards(distinct, counted, -(-5 * n_listed // (4 * max_entries)))  # a quarter of room for uneven shards
+    return rows.join(answers, "v").select(F.col("k").alias(value_key), "doc_id", "how", "cost")
+
+
+_ANSWER = "v string, doc_id string, how string, cost double"
+_RANKED = _ANSWER + ", stage int, disagree int, reordered int, minus_n bigint"
+
+
+def _answers(index: Dictionary, texts, knowns) -> Iterator[tuple]:
+    for v, known in zip(texts, knowns, strict=True):
+        yield v, *index.answer(v, frozenset(known) if known is not None else frozenset())
+
+
+def _looked_up(distinct: DataFrame, counted: DataFrame) -> DataFrame:
+    """(v, doc_id, how, cost) of distinct values, by one broadcast dictionary."""
+    entries = sorted((r["k"], r["t"], int(r["n"])) for r in counted.collect())
+    shared = distinct.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, entries))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = _index(shared)
-        seen: dict = {}
+        name, listed = shared.value
+        index = _index(name, lambda: Dictionary(listed))
         for batch in batches:
-            out = []
-            for k, v, known, n in zip(batch["k"], batch["v"], batch["known"], batch["n"], strict=True):
-                good_words = frozenset(known) if known is not None else frozenset()
-                got = seen.get((v, good_words))
-                if got is None:
-                    got = index.resolve(v, good_words)
-                    if len(seen) < 50_000:
-                        seen[v, good_words] = got
-                out.append((k, v, n, *got))
-            yield pd.DataFrame(out, columns=[value_key, "v", "n", "doc_id", "how", "cost"])
+            yield pd.DataFrame([a[:4] for a in _answers(index, batch["v"], batch["known"])], columns=["v", "doc_id", "how", "cost"])
+
+    return distinct.mapInPandas(run, _ANSWER)
+
+
+def _looked_up_in_shards(distinct: DataFrame, counted: DataFrame, n_shards: int) -> DataFrame:
+    """As ``_looked_up`` for a list that is too long: shards of the list meet blocks of values on the executors."""
+    spark = distinct.sparkSession
+    vocabulary = counted.select(F.explode(parse_references(F.col("t"))["title"]).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    words = vocabulary.limit(MAX_WORDS + 1).collect()
+    if len(words) > MAX_WORDS:
+        raise ValueError(f"the reference list has more than {MAX_WORDS} distinct words")
+    name = uuid.uuid4().hex
+    shared = spark.sparkContext.broadcast({r["w"]: r["n"] for r in words})
+    n_blocks = max(1, -(-distinct.count() // BLOCK))
+    shards = counted.select(F.pmod(F.xxhash64("k"), F.lit(n_shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), "*")
+    asked = distinct.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_shards - 1).cast("bigint"))).alias("shard"), F.pmod(F.xxhash64("v"), F.lit(n_blocks)).cast("int").alias("block"), "*")
+
+    def run(key: tuple, values: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        def build() -> Dictionary:
+            return Dictionary(sorted(zip(entries["k"], entries["t"], entries["n"].astype(int), strict=True)), shared.value)
+
+        index = _index(f"{name} {key[0]}", build)
+        rows = [(v, d, how, c, rank[0], rank[2], rank[3], rank[4]) for v, d, how, c, rank in _answers(index, values["v"], values["known"])]
+        return pd.DataFrame(rows, columns=["v", "doc_id", "how", "cost", "stage", "disagree", "reordered", "minus_n"])
 
-    return rows.select("k", "v", "known", "n").mapInPandas(run, f"`{value_key}` {kind}, v string, n int, doc_id string, how string, cost double")
+    every = asked.groupBy("shard", "block").cogroup(shards.groupBy("shard", "block")).applyInPandas(run, _RANKED)
+    order = F.struct("stage", F.round("cost", 6).alias("cost"), "disagree", "reordered", "minus_n", "doc_id")
+    return every.groupBy("v").agg(F.min_by(F.struct("doc_id", "how", "cost"), order).alias("b")).select("v", "b.*")
 
 
 _INDEXES: dict = {}
 
 
-def _index(shared) -> Dictionary:
-    """The dictionary of this worker process, built once from the broadcast list."""
-    key = id(shared.value)
-    if key not in _INDEXES:
+def _index(name: str, build) -> Dictionary:
+    """The dictionary called ``name`` in this worker process, built once; the name is unique to a list (and shard)."""
+    if name not in _INDEXES:
         _INDEXES.clear()
-        _INDEXES[key] = Dictionary(shared.value)
-    return _INDEXES[key]
+        _INDEXES[name] = build()
+    return _INDEXES[name]
 
 
 def match_report(mapped: DataFrame) -> DataFrame:

@@ -82,3 +82,30 @@ def test_bounds_and_empty_tables(spark, catalog):
     assert mapped(spark, catalog.where("false"), ["PERDA-2000-4", "x y z"]) == [UNMATCHED] * 2
     assert mapped(spark, catalog, ["PERDA-2000-4"] * 3) == ["PERDA-2000-4"] * 3
     assert deletions("abc", 1) == {"abc", "bc", "ac", "ab"} and weighted_distance("kota", "okta") < 1 < weighted_distance("kota", "desa")
+
+
+def test_equal_titles_across_shards(spark):
+    """Twelve entries of one title: form, number and year decide, however many shards the list has."""
+    title = "Pengelolaan Sampah di Kabupaten Banyuloka"
+    entries = [(f"PERDA-{2000 + i}-{i + 1}", title) for i in range(12)] + [("PP-1999-1", "Retribusi Parkir Tepi Jalan di Kabupaten Randumoro"), ("UU-1990-5", "Kehutanan Rakyat Nusantara Bersama")]
+    catalog = spark.createDataFrame(entries, "doc_id string, doc_title string")
+    texts = [f"Perda No. {i + 1} Tahun {2000 + i} tentang {title}" for i in range(12)]
+    # slips, a title cut short, one without blanks, an abbreviation, the title alone (the most referred to, then the smaller key)
+    texts += [f"Perda No. 3 Tahun 2002 tentang {title.replace('Sampah', 'Smapah')}", "Retribusi Parkir Tepi Jal…", "RetribusiParkirTepiJalnadiKabupatenRandumoro", "Retr. Parkir Tepi Jalan di Kab. Randumoro", title, "PERDA-2007-8", "PERDA-2007-8", "Kehutanan Rakyat Seberang Laut"]
+    want = [e[0] for e in entries[:12]] + ["PERDA-2002-3", "PP-1999-1", "PP-1999-1", "PP-1999-1", "PERDA-2007-8", "PERDA-2007-8", "PERDA-2007-8", UNMATCHED]
+    assert mapped(spark, catalog, texts) == want
+    for most in (8, 3, 1):
+        assert mapped(spark, catalog, texts, max_entries=most) == want
+
+
+def test_whole_candidate_lists():
+    """No expansion or reading is cut off, and a glued title is found whatever part of it is damaged."""
+    entries = [(f"PP-2000-{i}", f"Per{c * 3}an {w} Desa Mandiri") for i, (c, w) in enumerate(zip("abdefghijk", ["Ladang", "Sungai", "Pesisir", "Hutan", "Pasar", "Jalan", "Sekolah", "Koperasi", "Perahu", "Kebun"], strict=True))]
+    index = Dictionary([(d, t, 0) for d, t in entries])
+    assert len(index.spell("per.")) == 11
+    for doc, title in entries:
+        words = title.split()
+        assert index.resolve(" ".join(["Per.", *words[1:]]))[0] == doc
+        glue = "".join(words)
+        for i in range(0, len(glue) - 1, 3):
+            assert index.resolve(glue[:i] + glue[i + 1] + glue[i] + glue[i + 2 :] if i else "x" + glue[1:])[0] == doc
