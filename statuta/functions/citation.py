@@ -6,6 +6,7 @@ batches. The reader knows the written forms of this legal family and nothing abo
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from dataclasses import dataclass, field
@@ -92,12 +93,16 @@ def letters(text: str) -> str:
 
 def form_of(head: str) -> str | None:
     """The type that a heading names, spelling slips included; None for an unknown heading."""
-    word = letters(head)
+    return _form(letters(head))
+
+
+@functools.lru_cache(65_536)
+def _form(word: str) -> str | None:
     if word in _ALIAS:
         return _ALIAS[word]
     best, found = 3, None
     for alias, form in _ALIAS.items():
-        if len(alias) < 8:
+        if len(alias) < 8 or abs(len(alias) - len(word)) > 2:
             continue
         limit = min(best - 1, 2 if len(alias) >= 12 else 1)
         d = damerau(word, alias, limit)
