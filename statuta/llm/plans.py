@@ -11,7 +11,7 @@ from statuta.llm.mixing import mix, mix_report
 from statuta.llm.packing import pack, pack_report
 from statuta.llm.personal import masked, personal_information
 from statuta.llm.residue import residue, validate
-from statuta.llm.scans import broken_compounds, odd_forms, repaired, scan_defects, text_lines, typed_forms
+from statuta.llm.scans import all_lines, broken_compounds, furniture_of, odd_forms, repaired, scan_defects, typed_forms
 from statuta.session import load
 
 
@@ -29,10 +29,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
     """All texts of extraction results as continuous paragraphs, with the vocabulary of both tables."""
     results, units = _scanned(spark, d)
-    lines = text_lines(*results).unionByName(text_lines(*units))
-    forms = typed_forms(lines)
+    furniture = furniture_of([results, units])
+    forms = typed_forms(all_lines([results, units], furniture))
     odd, compounds = odd_forms(forms), broken_compounds(forms)
-    return repaired(*results, odd, compounds).unionByName(repaired(*units, odd, compounds))
+    return repaired(*results, odd, compounds, furniture).unionByName(repaired(*units, odd, compounds, furniture))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,10 @@
 
 Three kinds of damage, found in this order:
 
-* page furniture: running headers and footers, page numbers, announcements of the next page's first words;
+* page furniture: page numbers and announcements of the next page's first words are known by their form;
+  they show where the pages end. A running header or footer is a line whose normalised form (case, digits
+  and misreadings folded), opening or shape stands beside such page ends far more often than lines of the
+  body do, counted over the whole corpus: no publisher's header is written down here;
 * words hyphenated across lines, the furniture between their halves left aside;
 * misread characters and stray marks: every word of the corpus gets an anagram hash (sum of the fifth
   powers of its character codes), a misreading shifts the hash by a known difference, and so a join of
@@ -17,7 +20,9 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,53 +53,133 @@ _PAGE = (
 _PAGE_LINE = re.compile(f"^{_PAGE}$")
 _PAGE_END = re.compile(rf"\s{{2,}}{_PAGE}$")
 _CATCH_LINE = re.compile(r"^(?:\S+\s){0,4}\S*\s?(?:\.\s?\.\s?\.|…)$")
-_HEADER = re.compile(
-    rf"^(?:[A-Z].{{3,70}}[\s.]{_D}{{1,3}}/{_D}{{4}}"  # a short citation on its own line
-    r"|S.?K.{3,5}\s?[0-9A-Za-z'.,\]]{5,7}(?:[\s.]+[A-Z])?"  # a filing number
-    r"|[jJ].?.?h?[.\W\d]\S{3,}[.\W\d]?[eE].{0,2}a?.?ple|(?:www|jdih)\.\S{6,})$"  # a host name
-)
-_CHAPTER = re.compile(r"^B.B\s+[IVXL1l]+\W*$")
-# Openings of running headers that are in mixed case.
-_OPENINGS = ("Biro Hukum Setda", "Berita Daerah")
+_CHAPTER = re.compile(r"^(?:B.B\s+[IVXL1l]+|BUKU\s+\w+|BAGIAN\s+\w+)\W*$")
 _NOT_CAPITAL, _NOT_SMALL = re.compile("[^A-Z]+"), re.compile("[^a-km-z]+")
+#: Share of its occurrences that a form must have beside page ends, and their least number, by level of evidence:
+#: whole line, first two words, first word and number of words, shape; a whole line of prose.
+EDGE_SHARE, SUPPORT = (0.3, 0.3, 0.3, 0.3, 0.6), (2, 3, 3, 8, 8)
+#: Most forms of furniture that are broadcast (8 bytes each); more of them are joined by shuffle.
+BROADCAST_FORMS = 4_000_000
 _BROKEN = re.compile(rf"[^\W\d_][{HYPHENS}]\s*$")
 _START = re.compile(r"^\s*([^\W\d_]\S*)")
 
 
-def is_margin(line: str, position: int = 9, first: str = "") -> bool:
-    """Whether a line is page furniture; ``first`` is the first line of its text, ``position`` its own."""
-    text = line.strip()
-    if not text or len(text) >= 100:
-        return False
-    if _PAGE_LINE.match(text) or (len(text) < 60 and text[-1] in ".…" and _CATCH_LINE.match(text)):
-        return True
-    head = _PAGE_END.sub("", text)
-    if _HEADER.match(head):
-        return True
-    if len(_NOT_CAPITAL.sub("", head)) >= 5 and len(_NOT_SMALL.sub("", head)) <= 1:
-        # the capitals that open a document are its own heading
-        return not _CHAPTER.match(head) and not (position <= 2 and len(_NOT_CAPITAL.sub("", first)) > 0.6 * len(first.strip()))
-    return any(_near(head[: len(o)], o) for o in _OPENINGS) and len(head) < 45 and (head[:2] == "Bi" or len(head.split()[-1]) == 4 or head[:1] != "B")
+_FOLD = str.maketrans("0@4o1l|!]ji;c5f7q968bkr", "aaaaiiiiiiiiesttggbbbrr")
+_TOKEN = re.compile(r"[\w@|!\]]+")
+_GLUED = (("rn", "m"), ("vv", "w"), ("cl", "d"))
+
 
+def page_end(line: str) -> bool:
+    """Whether a stripped line is a page number or announces the next page, by its form."""
+    return bool(_PAGE_LINE.match(line)) or (line[-1:] in (".", "…") and len(line) < 60 and bool(_CATCH_LINE.match(line)))
 
-def _near(a: str, b: str) -> bool:
-    """Equal but for up to three places."""
-    return len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) <= 3
 
+def forms_of(line: str) -> tuple[str, ...] | None:
+    """What furniture may have in common, from the most to the least specific; None for a line that can be none.
 
-def read_lines(text: str) -> list[tuple]:
+    The whole line, its first two words, its first word and number of words, its shape; digits count as #,
+    letters that are misread for each other are one. Lower-case prose has only its whole line.
+    """
+    head = _PAGE_END.sub("", line)
+    tokens = []
+    for t in _TOKEN.findall(head):
+        if sum(c.isdigit() for c in t) * 2 >= len(t):
+            tokens.append("#")
+            continue
+        t = t.lower()
+        for many, one in _GLUED:
+            t = t.replace(many, one)
+        tokens.append(t.translate(_FOLD))
+    if not tokens or (len(tokens) < 2 and len(head) < 5):
+        return None
+    capitals, small = len(_NOT_CAPITAL.sub("", head)), len(_NOT_SMALL.sub("", head))
+    words = [w for w in head.split() if w[0].isalpha()]
+    if capitals >= 5 and small <= 1:
+        shape = "C"
+    elif len(head.split()) == 1 and any(c in ".:/" for c in head[1:-1]):
+        shape = "H"
+    elif words and all(w[0].isupper() for w in words) and head[-1] not in ".;:,":
+        shape = "T#" if "#" in tokens else "T"
+    else:
+        return ("4" + " ".join(tokens),)
+    return ("0" + " ".join(tokens), f"1{shape} {' '.join(tokens[:2])}", f"2{shape}{len(tokens)} {tokens[0]}", f"3{shape}" if shape in "CH" else f"3{shape}{len(tokens)}")
+
+
+def _hash(form: str) -> int:
+    return xxhash.xxh64_intdigest(form) - (1 << 63)
+
+
+def edge_counts(texts) -> dict[int, list[int]]:
+    """Per hashed form: its level, occurrences beside a page end, all occurrences, in some texts."""
+    found: dict[int, list[int]] = {}
+    for text in texts:
+        lines = [x for x in (line.strip() for line in text.split("\n")) if x]
+        ends = [page_end(x) for x in lines]
+        if not any(ends):
+            continue
+        for i, line in enumerate(lines):
+            forms = None if ends[i] else forms_of(line)
+            if forms is None or own_heading(lines, i):
+                continue
+            beside = (i > 0 and ends[i - 1]) or (i + 1 < len(lines) and ends[i + 1]) or bool(_PAGE_END.search(line))
+            for form in forms:
+                entry = found.setdefault(_hash(form), [int(form[0]), 0, 0])
+                entry[1] += beside
+                entry[2] += 1
+    return found
+
+
+def own_heading(lines: list[str], i: int) -> bool:
+    """Whether a line belongs to the document: to its opening, or in capitals as the title under a chapter heading."""
+    if len(_NOT_SMALL.sub("", lines[i])) > 1:
+        return i <= 2 and "#" not in (forms_of(lines[i]) or ("",))[0]
+    return bool(_CHAPTER.match(lines[i])) or (i > 0 and bool(_CHAPTER.match(lines[i - 1]))) or (i <= 2 and len(_NOT_CAPITAL.sub("", lines[0])) > 0.6 * len(lines[0]))
+
+
+class Furniture:
+    """The forms that counting has judged: furniture or body; a line goes by the most specific form that is judged."""
+
+    def __init__(self, forms: dict[int, bool] | tuple[np.ndarray, np.ndarray]) -> None:
+        if isinstance(forms, dict):
+            keys = np.array(sorted(forms), dtype=np.int64)
+            forms = keys, np.array([forms[k] for k in keys.tolist()], dtype=bool)
+        self.keys, self.verdicts = forms
+        self.known: dict[str, tuple[bool, bool]] = {}
+
+    def judged(self, form: str) -> bool | None:
+        h = _hash(form)
+        at = int(np.searchsorted(self.keys, h))
+        return bool(self.verdicts[at]) if at < len(self.keys) and self.keys[at] == h else None
+
+    def is_margin(self, lines: list[str], i: int) -> bool:
+        """Whether line ``i`` of the non-blank, stripped ``lines`` of a text is page furniture."""
+        line = lines[i]
+        if page_end(line):
+            return True
+        got = self.known.get(line)
+        if got is None:
+            got = next(((v, f[0] == "3") for f in forms_of(line) or () if (v := self.judged(f)) is not None), (False, False))
+            if len(self.known) < 200_000:
+                self.known[line] = got
+        verdict, by_shape = got
+        return verdict and not (by_shape and own_heading(lines, i))
+
+
+NO_FURNITURE = Furniture({})
+
+
+def read_lines(text: str, furniture: Furniture = NO_FURNITURE) -> list[tuple]:
     """(line_no, margin, hyphen, next_no, joined) of every line that is not blank.
 
     ``hyphen``: a body line that ends inside a word; its ``joined`` has the second half, taken from body
     line ``next_no``, after the mark SPLIT, and that line's ``joined`` lacks it.
     """
-    lines = text.split("\n")
+    lines = [(i, line) for i, line in enumerate(text.split("\n")) if line.strip()]
+    bare = [line.strip() for _, line in lines]
     out: list[list] = []
     open_line: list | None = None
-    for i, line in enumerate(lines):
-        if not line.strip():
-            continue
-        if is_margin(line, i, lines[0]):
+    for at, (i, line) in enumerate(lines):
+        if furniture.is_margin(bare, at):
             out.append([i + 1, True, False, None, None])
             continue
         joined = line
@@ -110,7 +195,34 @@ def read_lines(text: str) -> list[tuple]:
     return [tuple(e) for e in out]
 
 
-def text_lines(df: DataFrame, key: str, text: str, table_name: str) -> DataFrame:
+def furniture_of(columns: list[tuple[DataFrame, str, str, str]]) -> Furniture:
+    """The judged forms of several columns' texts together; counts are over all lines of all texts.
+
+    A form is judged at SUPPORT occurrences beside page ends or ten times as many in all.
+    """
+
+    def run(batches):
+        for batch in batches:
+            found = edge_counts(batch["text"])
+            yield pd.DataFrame([(h, *n) for h, n in found.items()], columns=["h", "level", "n_edge", "n"])
+
+    counted = None
+    for df, _, text, _ in columns:
+        one = df.select(F.col(text).alias("text")).where(F.contains("text", F.lit("\n"))).mapInPandas(run, "h bigint, level int, n_edge bigint, n bigint")
+        counted = one if counted is None else counted.unionByName(one)
+    total = counted.groupBy("h", "level").agg(F.sum("n_edge").alias("n_edge"), F.sum("n").alias("n"))
+    support, share = (F.element_at(F.array(*[F.lit(x) for x in table]), F.col("level") + 1) for table in (SUPPORT, EDGE_SHARE))
+    furniture = F.col("n_edge") >= share * F.col("n")
+    # a form of the body decides only against a less specific form of furniture, which prose does not have
+    judged = total.where((F.col("n_edge") >= support) | (F.col("n") >= 10 * support)).where((F.col("level") < 4) | furniture).select("h", furniture.alias("furniture"))
+    rows = judged.limit(BROADCAST_FORMS + 1).toPandas()
+    if len(rows) > BROADCAST_FORMS:
+        raise ValueError(f"more than {BROADCAST_FORMS} forms of lines are judged; count them with higher SUPPORT")
+    rows = rows.sort_values("h")
+    return Furniture((rows["h"].to_numpy(np.int64), rows["furniture"].to_numpy(bool)))
+
+
+def text_lines(df: DataFrame, key: str, text: str, table_name: str, furniture: Furniture = NO_FURNITURE) -> DataFrame:
     """All lines that are not blank: table_name, row_key, line_no, margin, hyphen, next_no, joined, text_hash.
 
     Null and empty texts have no lines. A text of one line has no page edge and no line break, so it
@@ -119,9 +231,12 @@ def text_lines(df: DataFrame, key: str, text: str, table_name: str) -> DataFrame
     rows = df.select(F.lit(table_name).alias("table_name"), F.col(key).cast("bigint").alias("row_key"), F.col(text).alias("text")).where(F.trim("text") != "").withColumn("text_hash", F.xxhash64("text"))
     one = rows.where(~F.contains("text", F.lit("\n"))).selectExpr("table_name", "row_key", "1 as line_no", "false as margin", "false as hyphen", "cast(null as int) as next_no", "text as joined", "text_hash")
 
+    shared = df.sparkSession.sparkContext.broadcast((furniture.keys, furniture.verdicts))
+
     def run(batches):
+        known = Furniture(shared.value)
         for batch in batches:
-            out = [(t, k, *entry, h) for t, k, v, h in zip(batch["table_name"], batch["row_key"], batch["text"], batch["text_hash"], strict=True) for entry in read_lines(v)]
+            out = [(t, k, *entry, h) for t, k, v, h in zip(batch["table_name"], batch["row_key"], batch["text"], batch["text_hash"], strict=True) for entry in read_lines(v, known)]
             frame = pd.DataFrame(out, columns=["table_name", "row_key", "line_no", "margin", "hyphen", "next_no", "joined", "text_hash"])
             frame["next_no"] = frame["next_no"].astype("Int32")
             yield frame
@@ -132,7 +247,7 @@ def text_lines(df: DataFrame, key: str, text: str, table_name: str) -> DataFrame
 
 
 #: The outer punctuation of a sentence.
-_OUTER = r"^\[(?=[^\]]*$)|^[(\"“]+|[).,;:\"”?]+$"
+_OUTER = r"^\[(?=[^\]]*$)|^[(\"“]+|(?<![).,;:\"”?])[).,;:\"”?]+$"
 
 
 def _words(joined: Column) -> Column:
@@ -161,8 +276,8 @@ def typed_forms(lines: DataFrame) -> DataFrame:
 
 
 def word_counts(forms: DataFrame) -> DataFrame:
-    """(word, n, n_lines) over all rows; words of one letter and over 40 letters are left out."""
-    return checkpoint(forms.where("length(word) between 2 and 40").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_lines").alias("n_lines")))
+    """(word, n, n_lines) over all rows; words of one letter are left out."""
+    return checkpoint(forms.where("length(word) > 1").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_lines").alias("n_lines")))
 
 
 def odd_forms(forms: DataFrame) -> DataFrame:
@@ -186,17 +301,23 @@ def broken_compounds(forms: DataFrame) -> DataFrame:
 
 
 def anagram_hash(word: Column) -> Column:
-    """Sum of the fifth powers of the character codes: equal for anagrams, shifted by misreadings."""
+    """Sum of the fifth powers of the character codes: equal for anagrams, shifted by misreadings.
+
+    Codes count modulo 1,024 and the sum modulo 2^60, so that no letter and no length overflows it.
+    """
 
     def power(c: Column) -> Column:
-        v = F.ascii(c).cast("bigint")
+        v = F.pmod(F.ascii(c).cast("bigint"), F.lit(1024))
         return v * v * v * v * v
 
-    return F.aggregate(F.split(word, ""), F.lit(0).cast("bigint"), lambda total, c: total + power(c))
+    return F.aggregate(F.split(word, ""), F.lit(0).cast("bigint"), lambda total, c: F.pmod(total + power(c), F.lit(_MODULUS)))
+
+
+_MODULUS = 1 << 60
 
 
 def _power_sum(text: str) -> int:
-    return sum(ord(c) ** 5 for c in text)
+    return sum((ord(c) % 1024) ** 5 for c in text)
 
 
 def _rules() -> Column:
@@ -232,7 +353,7 @@ def _shifts(word: Column) -> Column:
 
 
 #: A letter word with digits or marks inside, which no code, clause number or amount is.
-_STRANGE = r"\p{L}[0-9@!\]^~'`*|\;.,]+\p{L}|^[0-9@!\]|]+\p{L}{2,}|\p{L}{2,}[0-9@!|\]]+$|\p{L}{2,}[@!\]^~'`|][0-9]*$"
+_STRANGE = r"\p{L}[0-9@!\]^~'`*|\;.,]+\p{L}|^[0-9@!\]|]+\p{L}{2}|\p{L}{2}[0-9@!|\]]+$|\p{L}{2}[@!\]^~'`|][0-9]*$"
 _CODE = r"^(?:[a-z]{1,3}[0-9]{1,3}|[0-9]+[A-HJ-NP-RT-Y]|rp[0-9.,]+|(?:[a-z]\.)+[a-z]?|[a-z]+\.[a-z]+\.[a-z.]+)$"
 
 
@@ -248,7 +369,7 @@ def corrections(counts: DataFrame) -> DataFrame:
     n_lines = F.col("n_lines") if "n_lines" in counts.columns else n
     hashed = counts.select("word", "n", n_lines.alias("n_lines"), anagram_hash(word).alias("h"))
     frequent = hashed.where((n >= FREQUENT) & ~strange).select(word.alias("correction"), n.alias("n_frequent"), F.col("n_lines").alias("lines_frequent"), "h")
-    shifted = hashed.where(~word.rlike(_CODE)).select("word", "n", "n_lines", "h", F.explode(_shifts(word)).alias("s")).select("word", "n", "n_lines", (F.col("h") + F.col("s.delta")).alias("h"), "s.moved", "s.cost")
+    shifted = hashed.where(~word.rlike(_CODE)).select("word", "n", "n_lines", "h", F.explode(_shifts(word)).alias("s")).select("word", "n", "n_lines", F.pmod(F.col("h") + F.col("s.delta"), F.lit(_MODULUS)).alias("h"), "s.moved", "s.cost")
     told = F.greatest("lines_frequent", "n_lines") >= FREQUENT
     near = shifted.join(frequent, "h").where(
         (word != F.col("correction"))
@@ -315,14 +436,15 @@ def scan_defects(columns: list[tuple[DataFrame, str, str, str]]) -> DataFrame:
     lines. A vocabulary without frequent words proposes no correction, so that only words with marks or
     digits inside are called misread.
     """
-    lines = _union(columns)
+    lines = all_lines(columns, furniture_of(columns))
     return line_defects(lines, odd_forms(typed_forms(lines)))
 
 
-def _union(columns: list[tuple[DataFrame, str, str, str]]) -> DataFrame:
+def all_lines(columns: list[tuple[DataFrame, str, str, str]], furniture: Furniture) -> DataFrame:
+    """The lines of several columns, each (table, key, text column, table_name)."""
     out = None
     for df, key, text, name in columns:
-        one = text_lines(df, key, text, name)
+        one = text_lines(df, key, text, name, furniture)
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -333,14 +455,14 @@ _BROKEN_WORD = re.compile(rf"[^ \t\r/–—]*{SPLIT}[^ \t\r/–—]*")
 _OPENS = re.compile(r"^\s*(?:BAB\b|Pasal\b|\(\S{1,3}\)|[a-z]\.\s|\d+\.\s)")
 
 
-def paragraphs(text: str, fixes: dict[str, str], hyphens: dict[str, bool] | None = None) -> str:
+def paragraphs(text: str, fixes: dict[str, str], hyphens: dict[str, bool] | None = None, furniture: Furniture = NO_FURNITURE) -> str:
     """The text without furniture, its words whole and corrected, one paragraph to a line.
 
     ``hyphens`` says of broken words whether the hyphen is their own; of others a fixed pattern does.
     """
     out: list[str] = []
     kept = None
-    for line_no, margin, _, _, joined in read_lines(text):
+    for line_no, margin, _, _, joined in read_lines(text, furniture):
         if margin or not joined.strip():
             continue
         whole = _BROKEN_WORD.sub(lambda m: _mended(m[0], hyphens or {}), joined)
@@ -373,7 +495,7 @@ def _fixed(typed: str, fixes: dict[str, str]) -> str:
     return typed.replace(bare, right, 1)
 
 
-def repaired(df: DataFrame, key: str, text: str, table_name: str, odd: DataFrame, compounds: DataFrame | None = None) -> DataFrame:
+def repaired(df: DataFrame, key: str, text: str, table_name: str, odd: DataFrame, compounds: DataFrame | None = None, furniture: Furniture = NO_FURNITURE) -> DataFrame:
     """(table_name, row_key, text): each text repaired into continuous readable paragraphs.
 
     A compound broken at its own hyphen keeps it where ``compounds`` (see broken_compounds) says so; a
@@ -383,17 +505,20 @@ def repaired(df: DataFrame, key: str, text: str, table_name: str, odd: DataFrame
     marks = odd.where("correction is not null").selectExpr("typed", "word", "correction", "cast(null as boolean) as keeps")
     if compounds is not None:
         marks = marks.unionByName(compounds.selectExpr("typed", "cast(null as string) as word", "cast(null as string) as correction", "keeps"))
-    found = _occurrences(text_lines(df, key, text, table_name), marks)
+    found = _occurrences(text_lines(df, key, text, table_name, furniture), marks)
     fixes = found.groupBy("row_key").agg(
         F.map_from_entries(F.collect_set(F.when(F.col("word").isNotNull(), F.struct("word", "correction")))).alias("fixes"),
         F.map_from_entries(F.collect_set(F.when(F.col("keeps").isNotNull(), F.struct("typed", "keeps")))).alias("hyphens"),
     )
     rows = df.select(F.col(key).cast("bigint").alias("row_key"), F.col(text).alias("text")).join(fixes, "row_key", "left")
 
+    shared = df.sparkSession.sparkContext.broadcast((furniture.keys, furniture.verdicts))
+
     def run(batches):
+        known = Furniture(shared.value)
         for batch in batches:
             texts = [
-                paragraphs(t, dict(f) if f is not None else {}, dict(h) if h is not None else {}) if t is not None else None
+                paragraphs(t, dict(f) if f is not None else {}, dict(h) if h is not None else {}, known) if t is not None else None
                 for t, f, h in zip(batch["text"], batch["fixes"], batch["hyphens"], strict=True)
             ]
             yield pd.DataFrame({"table_name": table_name, "row_key": batch["row_key"], "text": texts})

@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from statuta.llm.scans import MISREADINGS, broken_compounds, corrections, is_margin, odd_forms, paragraphs, read_lines, repaired, scan_defects, text_lines, typed_forms, word_counts
+from statuta.llm.scans import MISREADINGS, Furniture, broken_compounds, corrections, furniture_of, odd_forms, page_end, paragraphs, read_lines, repaired, scan_defects, text_lines, typed_forms, word_counts
 
 WORDS = "pemerintah daerah wajib menyampaikan laporan berkala kepada masyarakat sesuai dengan ketentuan perizinan lingkungan hidup".split()
 SCHEMA = "k bigint, text string, table_name string, word string"
@@ -21,12 +21,46 @@ def found(spark, texts):
     return sorted((r["row_key"], r["line_no"], r["defect"]) for r in rows)
 
 
-def test_margins():
-    for line in ("- 2 -", "  – 11 –", "[3]", "2 |", "4/5", "Halaman 2 dari 3", "hlm. 7", "Hal : 2", ". . . 1", "xii", "SK No 035746 C", "S A L I N A N", "jdih.kota.example", "Undang-Undang No. 8/1995", "tata urutan …", "(9) Untuk . . .", "BUPATI X YZW  4/5"):
-        assert is_margin(line), line
-    for line in ("(3)", "BAB XII", "Pasal 8C", "2021.", "pemohon.", "a. memeriksa;", "07.00 - 15.00 waktu", ""):
-        assert not is_margin(line), line
-    assert not is_margin("PERATURAN DAERAH NOMOR 2 TAHUN 2001", 0, "PERATURAN DAERAH NOMOR 2 TAHUN 2001")
+HEADERS = ["SK No 035746 C", "S A L I N A N", "jdih.kota.example", "Undang-Undang No. 8/1995", "BUPATI X YZW  4/5"]
+
+
+def corpus(headers, pages=12, seed=11):
+    """Texts of several pages whose running headers recur beside page numbers and nowhere else."""
+    rng = random.Random(seed)
+    texts = []
+    for n in range(pages):
+        lines = []
+        for page in range(1, 4):
+            lines += [" ".join(rng.sample(WORDS, 8)) + "," for _ in range(6)]
+            lines += [f"- {page} -", headers[n % len(headers)]]
+        texts.append("\n".join([*lines, "Pasal 3", " ".join(WORDS) + "."]))
+    return texts
+
+
+def test_margins(spark):
+    for line in ("- 2 -", "–  11 –", "[3]", "2 |", "4/5", "Halaman 2 dari 3", "hlm. 7", "Hal : 2", ". . . 1", "xii", "tata urutan …", "(9) Untuk . . ."):
+        assert page_end(line), line
+    seen = furniture_of([(frame(spark, corpus(HEADERS, 40)), "k", "text", "t")])
+    for line in HEADERS:
+        assert seen.is_margin(["pembuka biasa", "isi biasa", "isi lagi", line], 3), line
+    for line in ("(3)", "BAB XII", "Pasal 8C", "2021.", "pemohon.", "a. memeriksa;", "07.00 - 15.00 waktu"):
+        assert not page_end(line) and not seen.is_margin(["pembuka", "isi biasa", "isi lagi", line], 3), line
+    # capitals that open a document or stand under a chapter heading are its own
+    assert not seen.is_margin(["PERATURAN DAERAH NOMOR 2 TAHUN 2001", "isi"], 0)
+    assert not seen.is_margin(["a", "b", "c", "BAB II", "KETENTUAN UMUM"], 4)
+    assert not Furniture({}).is_margin(["a", "b", "c", "S A L I N A N"], 3)
+
+
+def test_headers_of_an_unseen_publisher(spark):
+    """Host, mixed-case header and filing mark of a publisher that the code has never heard of."""
+    headers = ["Warta Hukum Negeri Antah", "arsip.antah-berantah.test", "Berkas AB-77 Seri 9"]
+    texts = corpus(headers, 30)
+    got = found(spark, texts)
+    want = {(k, n, "margin") for k, t in enumerate(texts) for n, line in enumerate(t.split("\n"), 1) if line in headers or page_end(line)}
+    assert {g for g in got if g[2] == "margin"} == want
+    # the same lines that never stand beside a page end are text
+    plain = [f"{h}\n{' '.join(WORDS)}" for h in headers] * 10
+    assert not [g for g in found(spark, plain) if g[2] == "margin"]
 
 
 def test_hyphens_over_furniture():
