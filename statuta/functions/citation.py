@@ -45,6 +45,8 @@ _ABOUT = re.compile(r"\b(?:tentang|ttg|perihal|mengenai)\b\s*[.:]?\s*", re.I)
 _PAREN = re.compile(r"^(?P<title>.{12,}?)\s*\((?P<code>[^()]{3,80})\)\s*$")
 _AMEND = re.compile(r"^\s*perubahan\s+(?:(?:ke\w+)\s+)?atas\s+", re.I)
 _WORDS = re.compile(r"[^\W_]+(?:\.(?=\s|$))?|&|…")
+# Words for "and so on" that end a text cut short.
+_AND_SO_ON = re.compile(r"[\s,;(]+(?:dst|dsb|dll|etc|dan seterusnya)\b[.)]*$", re.I)
 _GLUE = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -180,9 +182,10 @@ def read_reference(text: str | None) -> Reference:
             outer = read_reference(paren["title"])
             inside.title, inside.truncated, inside.glued, inside.amends = outer.title, outer.truncated, outer.glued, outer.amends
             return inside
-    if t.endswith("…"):
+    cut = _AND_SO_ON.sub("…", t)
+    if cut.endswith("…"):
         ref.truncated = True
-        t = t.rstrip("… ")
+        t = cut.rstrip("… ")
     about = _ABOUT.search(t)
     lead, title = (t[: about.start()], t[about.end() :]) if about else (t, "")
     if _AMEND.match(t):

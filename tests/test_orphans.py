@@ -46,6 +46,9 @@ CASES = [
     (15, "Ordonansi Pelabuhan Nomor 3 Tahun 1950", None, None, "absent"),
     (16, "Pemulihan Lahan Gambut bagi Daerah Terti…", None, T(2024, 1, 1), None),
     (17, "PembinaanPasarDesadiKabupatenRandu 2002", None, T(2024, 1, 1), "deleted"),
+    (19, "Pemulihan Lahan Gambut bagi Daerah Ter dst.", None, T(2024, 1, 1), None),
+    (20, "Surat Edaran ttg Pemulihan Lahan Gambut bagi Daerah Terting", None, T(2024, 1, 1), None),
+    (21, "Perda ttg Pembinaan Pasar Desa di Kabupaten Ran", None, T(2024, 1, 1), "deleted"),
     (18, "x" * 50_000, None, T(2024, 1, 1), "absent"),
 ]
 
