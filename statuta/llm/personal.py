@@ -1,11 +1,13 @@
 """Personal information in free text: found by a skip-chain conditional random field, then masked.
 
-A text is read into nodes: capitalised words that are no common words, numbers, e-mail addresses and
-addresses down to a house. Neighbouring words of one expression are chained, and equal words anywhere in
-the document are joined by skip edges. Node weights and both edge weights are learned by
-pseudo-likelihood from a bounded sample of documents that patterns label weakly; loopy message passing
-then makes the labels of a document consistent, so a name that only one of its mentions gives away is
-found at all of them.
+A text is read into nodes that may or may not be personal information: capitalised words that are no
+common words (name or not), numbers (phone, identity number or neither), expressions around an at sign
+(e-mail address or not) and road expressions (address or mere road). Neighbouring words of one expression
+are chained, and equal or similar tokens anywhere in the document are joined by skip edges: words one
+letter apart, numbers with the same digits in another notation. Node weights and both edge weights are
+learned by pseudo-likelihood from a bounded sample of documents that patterns label weakly; loopy message
+passing over all kinds of nodes then makes the labels of a document consistent, so what only one of its
+mentions gives away is found at all of them.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documents the model is fitted on at most (about), longest of them, hash size of the weights, training rounds.
-SAMPLE_DOCS, SAMPLE_CHARS, DIMENSIONS, ROUNDS = 3_000, 50_000, 1 << 18, 60
-#: Rounds of message passing.
-SWEEPS = 6
+#: Documents the model is fitted on and their characters together, at most (about); hash size of the weights; training rounds.
+SAMPLE_DOCS, SAMPLE_CHARS, DIMENSIONS, ROUNDS = 3_000, 30_000_000, 1 << 18, 60
+#: Sweeps of message passing, to and fro, unless it has settled before; and from which of them on messages are damped.
+SWEEPS, DAMPED_FROM = 60, 12
+#: Most texts with copies whose hashes are broadcast; more of them are joined by shuffle.
+BROADCAST_COPIES = 1_000_000
 #: A word is common if it is in lower case in at least this share of as many documents as have it capitalised.
 LOWER_SHARE = 1 / 200
 KINDS = ("name", "email", "phone", "id_number", "address")
@@ -36,7 +40,10 @@ EMAIL = rf"[A-Za-z0-9][A-Za-z0-9._+-]*{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*
 _ROAD = r"(?:Jalan|Jln\.?|Jl\.?|JALAN|JLN\.?|JL\.?|Gang|Gg\.?|GANG|GG\.?|Komplek|Kompleks|Komp\.|Perumahan|Perum\.?|Dusun|Dsn\.?|Kampung|Kp\.?|Lingkungan|Apartemen|Rusun)"
 _HOUSE = r"(?:[Bb]lok\s+\w{1,4}|(?:No\.?|Nomor|NO\.?|nomor|no\.?)\s?\d+\s?[A-Za-z]?\b|RT\.?\s?\d+|\d+\s?[A-Z]?\b(?!\s+(?:Tahun|tahun)))"
 ADDRESS = rf"\b{_ROAD}\s+(?:[A-Z][\w'-]*\s+){{0,5}}{_HOUSE}"
-_EMAIL, _ADDRESS = re.compile(EMAIL), re.compile(ADDRESS)
+#: Expressions around an at sign and after a road word, whatever they are.
+_EMAIL = re.compile(rf"(?P<whole>{EMAIL})|[A-Za-z0-9][A-Za-z0-9._+-]*\s?(?:@|＠|\(at\)|\[at\]|\{{at\}})\s?[A-Za-z0-9-]+")
+_ADDRESS = re.compile(rf"(?P<whole>{ADDRESS})|\b{_ROAD}\s+[A-Z][\w'-]*")
+_WHOLE_EMAIL = re.compile(EMAIL)
 _NUMBER = re.compile(r"\d(?:[ .-]?\d){5,22}(?![\w/])")
 _AREA = re.compile(r"(?:\(\+?\d{1,4}\)[ .-]?|\+)\Z")
 _LETTERED = re.compile(r"[A-Z]{1,2}\d{6,8}(?!\w)")
@@ -70,21 +77,21 @@ _LINKS = ("bin", "binti")
 class Node:
     """One token that may be personal information."""
 
-    __slots__ = ("start", "end", "kind", "text", "key", "context", "left", "links")
+    __slots__ = ("start", "end", "kind", "text", "key", "context", "whole", "left", "links")
 
-    def __init__(self, start, end, kind, text, key, context):
-        self.start, self.end, self.kind, self.text, self.key, self.context = start, end, kind, text, key, context
+    def __init__(self, start, end, kind, text, key, context, whole=False):
+        self.start, self.end, self.kind, self.text, self.key, self.context, self.whole = start, end, kind, text, key, context, whole
         self.left = -1
         self.links = ()
 
 
 def _marked(text: str) -> list[tuple[int, int, str]]:
-    """Spans of e-mail addresses, addresses down to a house, and numbers, in order and without overlap."""
+    """Spans of at-sign expressions, road expressions and numbers, in order and without overlap; capital letter: with a host, a house."""
     found: list[tuple[int, int, str]] = []
     if any(s in text for s in _AT_SIGNS):
-        found += [(*m.span(), "e") for m in _EMAIL.finditer(text)]
+        found += [(*m.span(), "E" if m["whole"] else "e") for m in _EMAIL.finditer(text)]
     if any(s in text for s in _ROADS):
-        found += [(*m.span(), "a") for m in _ADDRESS.finditer(text)]
+        found += [(*m.span(), "A" if m["whole"] else "a") for m in _ADDRESS.finditer(text)]
     for m in _NUMBER.finditer(text):
         start, end = m.span()
         area = _AREA.search(text, max(0, start - 9), start)
@@ -123,7 +130,7 @@ def read_nodes(text: str, common: frozenset[str]) -> list[Node]:
         while at < last and marked[at][0] <= start:
             spans.append(marked[at])
             at += 1
-        if at and start < marked[at - 1][1]:
+        if at and start < marked[at - 1][1] and marked[at - 1][2] != "a":
             continue
         spans.append((start, m.end(), "w"))
     spans += marked[at:]
@@ -131,10 +138,8 @@ def read_nodes(text: str, common: frozenset[str]) -> list[Node]:
     size = len(text)
     for start, end, kind in spans:
         word = text[start:end]
-        key = word.lower() if kind == "w" else re.sub(r"\W", "", word.lower()) if kind == "n" else word
-        if kind in "ea":
-            nodes.append(Node(start, end, kind, word, key, ("", "", "", "")))
-            continue
+        whole, kind = kind.isupper(), kind.lower()
+        key = word.lower() if kind == "w" else re.sub(r"\W", "", word.lower())
         before = text[max(0, start - 40) : start]
         line = before.rfind("\n")
         words = before[line + 1 :].replace(",", " ").replace(";", " ").replace("|", " ").split()
@@ -147,7 +152,7 @@ def read_nodes(text: str, common: frozenset[str]) -> list[Node]:
         n1 = _LAST_WORDS.match(after.lstrip(" "))
         mark = after[:1] if after[:1] in ",;:|.\n()" or not after else " "
         context = (p1 if not p1.isdigit() else "9", p2 if len(p2) < 18 else "", n1[0].lower() if n1 and len(n1[0]) < 18 else "", mark)
-        node = Node(start, end, kind, word, key, context)
+        node = Node(start, end, kind, word, key, context, whole)
         if nodes and kind == "w" and nodes[-1].kind == "w" and start - nodes[-1].end <= 9:
             if _GAP.match(text[nodes[-1].end : start]) and nodes[-1].key not in _BEFORE_OTHER:
                 node.left = len(nodes) - 1
@@ -177,6 +182,23 @@ def number_features(node: Node) -> tuple[list[int], list[int]]:
     return [_h(f) for f in own], [_h(f) for f in ctx]
 
 
+def span_features(node: Node) -> tuple[list[int], list[int]]:
+    """Of an at-sign or road expression: its make, its first and last word, and what stands around it."""
+    p1, p2, n1, mark = node.context
+    words = re.findall(r"[A-Za-z]+|[^\sA-Za-z0-9]+", node.text)
+    make = re.sub(r"[a-z]+", "a", re.sub(r"[A-Z][a-z]*", "A", re.sub(r"\d+", "0", node.text)))
+    k = node.kind
+    own = [f"{k}b", f"{k}whole={node.whole}", f"{k}first={words[0].lower() if k == 'a' else ''}", f"{k}make={make[-4:]}", f"{k}digits={any(c.isdigit() for c in node.text)}", f"{k}marks={''.join(w for w in words if not w[0].isalpha())[:6]}", f"{k}n={min(len(words), 8)}"]
+    ctx = [f"{k}p1={p1}", f"{k}p2={p2}|{p1}", f"{k}n1={n1}", f"{k}m={mark}"]
+    return [_h(f) for f in own], [_h(f) for f in ctx]
+
+
+def node_features(node: Node) -> tuple[list[int], list[int]]:
+    if node.kind == "w":
+        return word_features(node, node.left >= 0)
+    return number_features(node) if node.kind == "n" else span_features(node)
+
+
 def weak_word(nodes: list[Node], i: int, text: str, marks: dict[int, int]) -> int | None:
     """1 name, 0 no name, None unknown, by patterns alone."""
     node = nodes[i]
@@ -227,7 +249,7 @@ def word_uses(texts: Iterable[str]) -> dict[str, list[int]]:
     """Per word the number of texts that have it in lower case, and of those that have it capitalised."""
     uses: dict[str, list[int]] = defaultdict(lambda: [0, 0])
     for t in texts:
-        plain = _EMAIL.sub(" ", t) if any(a in t for a in _AT_SIGNS) else t
+        plain = _WHOLE_EMAIL.sub(" ", t) if any(a in t for a in _AT_SIGNS) else t
         for w in set(_LOWER.findall(plain)):
             uses[w][0] += 1
         for w in {w.lower() for w in _WORD.findall(plain)}:
@@ -240,92 +262,129 @@ def common_words(texts: list[str]) -> frozenset[str]:
     return frozenset(w for w, (low, high) in word_uses(texts).items() if low and high and low >= LOWER_SHARE * high and w not in _LINKS)
 
 
-def corpus_common_words(df: DataFrame, text: str) -> frozenset[str]:
-    """``common_words`` of all texts of a table, whatever their number and length; null and empty texts count nothing."""
+def once_each(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Column t: the non-blank texts of a table, of copies only the one of smallest key.
+
+    Only hashes are counted; texts that have copies are few, so their hashes are broadcast below a
+    counted size.
+    """
+    rows = df.where(F.length(F.trim(text)) > 0).select(F.col(key).alias("k"), F.col(text).alias("t")).withColumn("h", F.xxhash64("t"))
+    copied = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("k").alias("first")).where("n > 1").select("h", "first")
+    small = copied.limit(BROADCAST_COPIES + 1).count() <= BROADCAST_COPIES
+    return rows.join(F.broadcast(copied) if small else copied, "h", "left").where("first is null or k = first").select("k", "t")
+
+
+def corpus_common_words(texts: DataFrame) -> frozenset[str]:
+    """``common_words`` of all texts (column t), whatever their number and length."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame([(w, *n) for w, n in word_uses(batch["t"]).items()], columns=["word", "low", "high"])
 
-    rows = df.where(F.length(F.trim(text)) > 0).select(F.col(text).alias("t"))
-    uses = rows.mapInPandas(run, "word string, low bigint, high bigint").groupBy("word").agg(F.sum("low").alias("low"), F.sum("high").alias("high"))
+    uses = texts.select("t").mapInPandas(run, "word string, low bigint, high bigint").groupBy("word").agg(F.sum("low").alias("low"), F.sum("high").alias("high"))
     common = uses.where((F.col("low") > 0) & (F.col("high") > 0) & (F.col("low") >= LOWER_SHARE * F.col("high")) & ~F.col("word").isin(*_LINKS))
     return frozenset(r["word"] for r in common.select("word").collect())
 
 
+def _likeness(node: Node) -> list[str]:
+    """Keys that similar tokens share: a word less one letter (up to 40 letters: longer runs are no words), digits without country code."""
+    if node.kind == "n":
+        return [node.kind + re.sub(r"^(?:00?62|62|0)", "", node.key)]
+    if node.kind == "w" and 6 <= len(node.key) <= 40:
+        return ["w" + node.key, *{"w" + node.key[:i] + node.key[i + 1 :] for i in range(len(node.key))}]
+    return [node.kind + node.key]
+
+
 def skip_links(nodes: list[Node]) -> None:
-    """Joins equal words (and equal numbers) in order of occurrence."""
+    """Joins equal and similar tokens: each to the last one of every key it shares with earlier ones."""
     seen: dict[str, int] = {}
-    links: dict[int, list[int]] = defaultdict(list)
+    keys: dict[str, list[str]] = {}
+    links: dict[int, set[int]] = defaultdict(set)
     for i, node in enumerate(nodes):
-        if node.kind in "wn":
-            j = seen.get(node.key)
-            if j is not None:
-                links[i].append(j)
-                links[j].append(i)
-            seen[node.key] = i
+        own = keys.get(node.kind + node.key)
+        if own is None:
+            own = keys[node.kind + node.key] = _likeness(node)
+        for key in own:
+            j = seen.get(key)
+            if j is not None and node.left != j:
+                links[i].add(j)
+                links[j].add(i)
+            seen[key] = i
     for i, js in links.items():
-        nodes[i].links = tuple(js)
+        nodes[i].links = tuple(sorted(js))
+
+
+#: Labels of each kind of node; the first is no personal information.
+LABELS = {"w": ("", "name"), "n": ("", "phone", "id_number"), "e": ("", "email"), "a": ("", "address")}
 
 
 class Model:
-    """Weights of nodes (names: one row; numbers: three) and of chain and skip edges."""
+    """Weights of nodes (one row per label of their kind, words as one row) and of chain and skip edges."""
 
-    def __init__(self, common: frozenset[str], words: np.ndarray, numbers: np.ndarray, chain: float, skip: float) -> None:
-        self.common, self.words, self.numbers, self.chain, self.skip = common, words, numbers, chain, skip
+    def __init__(self, common: frozenset[str], words: np.ndarray, numbers: np.ndarray, chain: float, skip: float, spans: dict[str, np.ndarray] | None = None) -> None:
+        self.common, self.words, self.numbers, self.chain, self.skip, self.spans = common, words, numbers, chain, skip, spans or {}
         self.known: dict = {}
 
-    def field(self, node: Node) -> float | list[float]:
-        """Log-odds of a word being part of a name; scores of the three readings of a number."""
-        slot = (node.key if node.kind == "w" else node.text, node.text[1:2].isupper(), node.context, node.left >= 0)
+    def field(self, node: Node) -> list[float]:
+        """Scores of the labels of a node by itself, that of the first label being 0."""
+        slot = (node.kind, node.key if node.kind == "w" else node.text, node.text[1:2].isupper(), node.context, node.left >= 0)
         got = self.known.get(slot)
         if got is None:
+            own, ctx = node_features(node)
             if node.kind == "w":
-                own, ctx = word_features(node, node.left >= 0)
-                got = float(self.words[own].sum() + self.words[ctx].sum())
+                got = [0.0, float(self.words[own].sum() + self.words[ctx].sum())]
+            elif node.kind == "n":
+                scores = (self.numbers[:, own].sum(axis=1) + self.numbers[:, ctx].sum(axis=1)).tolist()
+                got = [x - scores[0] for x in scores]
             else:
-                own, ctx = number_features(node)
-                got = (self.numbers[:, own].sum(axis=1) + self.numbers[:, ctx].sum(axis=1)).tolist()
+                row = self.spans.get(node.kind)
+                got = [0.0, float(row[own].sum() + row[ctx].sum()) if row is not None else 0.0]
             if len(self.known) < 300_000:
                 self.known[slot] = got
         return got
 
-    def names(self, nodes: list[Node]) -> list[float]:
-        """Beliefs (log-odds) of all word nodes after loopy message passing over chain and skip edges."""
-        n = len(nodes)
-        h = [self.field(x) if x.kind == "w" else -9.0 for x in nodes]
+    def beliefs(self, nodes: list[Node]) -> list[list[float]]:
+        """Scores of the labels of all nodes after loopy message passing over chain and skip edges.
+
+        Nodes send in order of occurrence and then in reverse, so one pair of sweeps carries evidence
+        through a whole text; passing ends when no message moves by more than 0.001.
+        """
+        belief = [list(self.field(x)) for x in nodes]
         edges: dict[int, list[tuple[int, float]]] = defaultdict(list)
         for i, x in enumerate(nodes):
-            if x.kind != "w":
-                continue
             if x.left >= 0:
-                edges[i].append((x.left, self.chain))
-                edges[x.left].append((i, self.chain))
+                edges[i].append((x.left, 2.0 * self.chain))
+                edges[x.left].append((i, 2.0 * self.chain))
             for j in x.links:
-                edges[i].append((j, self.skip))
+                edges[i].append((j, 2.0 * self.skip))
         if not edges:
-            return h
-        messages = {(i, j): 0.0 for i, out in edges.items() for j, _ in out}
-        belief = h[:]
-        for _ in range(SWEEPS):
+            return belief
+        messages = {(i, j): [0.0] * len(belief[j]) for i, out in edges.items() for j, _ in out}
+        order = sorted(edges)
+        for sweep in range(SWEEPS):
             moved = 0.0
-            for i, out in edges.items():
-                total = h[i] + sum(messages[j, i] for j, _ in out)
-                belief[i] = total
-                for j, w in out:
-                    cavity = total - messages[j, i]
-                    new = 2.0 * math.atanh(math.tanh(w) * math.tanh(max(-30.0, min(30.0, cavity)) / 2.0) * 0.999999)
-                    old = messages[i, j]
-                    new = 0.5 * old + 0.5 * new
-                    moved = max(moved, abs(new - old))
+            for i in order if sweep % 2 == 0 else reversed(order):
+                total = belief[i]
+                for j, w in edges[i]:
+                    back, old = messages[j, i], messages[i, j]
+                    new = _message([t - b for t, b in zip(total, back, strict=True)], w)
+                    if sweep >= DAMPED_FROM:
+                        new = [0.5 * (a + b) for a, b in zip(new, old, strict=True)]
+                    target = belief[j]
+                    for c in range(1, len(new)):
+                        step = new[c] - old[c]
+                        target[c] += step
+                        if abs(step) > moved:
+                            moved = abs(step)
                     messages[i, j] = new
-            if moved < 1e-3:
+            if moved < 1e-3 and sweep:
                 break
-        for i, out in edges.items():
-            belief[i] = h[i] + sum(messages[j, i] for j, _ in out)
-        assert len(belief) == n
         return belief
 
+    def names(self, nodes: list[Node]) -> list[float]:
+        """Log-odds of all word nodes being part of a name."""
+        return [b[1] if x.kind == "w" else -9.0 for x, b in zip(nodes, self.beliefs(nodes), strict=True)]
+
     def find(self, text: str) -> list[tuple[str, int, int]]:
         """(kind, start, end) of all personal information in ``text``, in order."""
         nodes = read_nodes(text, self.common)
@@ -333,33 +392,41 @@ class Model:
             return []
         skip_links(nodes)
         out: list[list] = []
-        belief = self.names(nodes) if any(x.kind == "w" for x in nodes) else []
         last = -2
-        for i, x in enumerate(nodes):
-            if x.kind == "e":
-                out.append(["email", x.start, x.end])
-            elif x.kind == "a":
-                out.append(["address", x.start, x.end])
-            elif x.kind == "n":
-                scores = self.field(x)
-                if x.links:  # equal numbers: the readings of all of them count
-                    scores = [s + self.skip * sum(self.field(nodes[j])[k] for j in x.links) for k, s in enumerate(scores)]
-                best = max(range(3), key=scores.__getitem__)
+        for i, (x, scores) in enumerate(zip(nodes, self.beliefs(nodes), strict=True)):
+            best = max(range(len(scores)), key=scores.__getitem__)
+            if x.kind != "w":
                 if best:
-                    out.append(["phone" if best == 1 else "id_number", x.start, x.end])
-            elif belief[i] > 0.0 and x.key not in _TITLES:
+                    out.append([LABELS[x.kind][best], x.start, x.end])
+                last = -2
+            elif best and x.key not in _TITLES:
                 if x.left == last:
                     out[-1][2] = x.end
                 else:
                     out.append(["name", x.start, x.end])
                 last = i
-                continue
-            last = -2 if x.kind != "w" else last if belief[i] > 0 else -2
+            else:
+                last = -2
         return [tuple(o) for o in out]
 
 
+def _message(cavity: list[float], w: float) -> list[float]:
+    """What a node tells a neighbour that gains ``w`` by having the same label; the first label's score is 0."""
+    if len(cavity) == 2:
+        c = max(-30.0, min(30.0, cavity[1] - cavity[0]))
+        return [0.0, 2.0 * math.atanh(math.tanh(w / 2.0) * math.tanh(c / 2.0) * 0.999999)]
+    top = max(cavity)
+    weights = [math.exp(c - top) for c in cavity]
+    total, gain = sum(weights), math.exp(w) - 1.0
+    sums = [math.log(total + gain * x) for x in weights]
+    return [x - sums[0] for x in sums]
+
+
 def _fit(own: list, ctx: list, y: np.ndarray, extra: np.ndarray, classes: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Adagrad on the (pseudo-)likelihood with dropped contexts; rows of weights per class, and edge weights."""
+    """Adagrad on the (pseudo-)likelihood with dropped contexts; rows of weights per class, and edge weights.
+
+    ``extra`` (node, kind of edge, class) counts the labelled neighbours of each class.
+    """
     a, b = np.array(own), np.array(ctx)
     w = np.zeros((classes, DIMENSIONS), dtype=np.float64)
     g2 = np.full_like(w, 1e-2)
@@ -372,8 +439,7 @@ def _fit(own: list, ctx: list, y: np.ndarray, extra: np.ndarray, classes: int, r
         keep = rng.random(b.shape) > 0.35
         keep_own = rng.random(a.shape) > 0.4
         z = (w[:, a] * keep_own).sum(axis=2).T + (w[:, b] * keep).sum(axis=2).T
-        if classes == 2:
-            z[:, 1] += extra @ edge * 2.0
+        z += 2.0 * np.einsum("nec,e->nc", extra, edge)
         z -= z.max(axis=1, keepdims=True)
         p = np.exp(z)
         p /= p.sum(axis=1, keepdims=True)
@@ -382,69 +448,76 @@ def _fit(own: list, ctx: list, y: np.ndarray, extra: np.ndarray, classes: int, r
             g = np.bincount(a.ravel(), (d[:, c, None] * keep_own).ravel(), DIMENSIONS) + np.bincount(b.ravel(), (d[:, c, None] * keep).ravel(), DIMENSIONS) + 1e-7 * w[c]
             g2[c] += g * g * 1e4
             w[c] -= 0.5 * g * 1e2 / np.sqrt(g2[c]) * 0.5
-        if classes == 2:
-            ge = 2.0 * (d[:, 1] @ extra)
-            e2 += ge * ge
-            edge = np.clip(edge - 0.05 * ge / np.sqrt(e2), 0.05, 2.0)
+        ge = 2.0 * np.einsum("nec,nc->e", extra, d)
+        e2 += ge * ge
+        edge = np.clip(edge - 0.05 * ge / np.sqrt(e2), 0.05, 2.0)
     return w, edge
 
 
+def _weak(nodes: list[Node], text: str) -> dict[int, int]:
+    """Labels that patterns give to some nodes of a text, as positions in LABELS."""
+    marks: dict[int, int] = {}
+    words: dict[int, int] = {}
+    for i, node in enumerate(nodes):
+        m = weak_word(nodes, i, text, words) if node.kind == "w" else weak_number(node, text) if node.kind == "n" else int(node.whole)
+        if m is not None:
+            marks[i] = m
+            if node.kind == "w":
+                words[i] = m
+    return marks
+
+
 def fit(texts: list[str], seed: int = 7, common: frozenset[str] | None = None) -> Model:
     """The model of a sample of texts, with the common words of their corpus (else of the sample).
 
-    A sample without names or numbers leaves their weights at zero.
+    A sample without one kind of nodes leaves their weights at zero, so that none of them is found.
     """
     if common is None:
         common = common_words(texts)
     rng = np.random.default_rng(seed)
-    own, ctx, y, spins = [], [], [], []
-    nown, nctx, ny = [], [], []
+    rows: dict[str, list] = {k: [] for k in LABELS}
     for text in texts:
         nodes = read_nodes(text, common)
         skip_links(nodes)
-        marks: dict[int, int] = {}
-        for i, node in enumerate(nodes):
-            if node.kind == "w":
-                m = weak_word(nodes, i, text, marks)
-                if m is not None:
-                    marks[i] = m
+        marks = _weak(nodes, text)
         right = {x.left: i for i, x in enumerate(nodes) if x.left >= 0}
         for i, m in marks.items():
-            a, b = word_features(nodes[i], nodes[i].left >= 0)
-            own.append(a)
-            ctx.append(b)
-            y.append(m)
-            chain = sum(2 * marks[j] - 1 for j in (nodes[i].left, right.get(i, -1)) if j in marks)
-            skip = sum(2 * marks[j] - 1 for j in nodes[i].links if j in marks)
-            spins.append((chain, skip))
-        for node in nodes:
-            if node.kind == "n":
-                m = weak_number(node, text)
-                if m is not None:
-                    a, b = number_features(node)
-                    nown.append(a)
-                    nctx.append(b)
-                    ny.append(m)
-    words, edge = np.zeros(DIMENSIONS), np.array([0.5, 0.5])
-    if len(set(y)) == 2:
-        w, edge = _fit(own, ctx, np.array(y), np.array(spins, dtype=float), 2, rng)
-        words = w[1] - w[0]
-    numbers = np.zeros((3, DIMENSIONS))
-    if len(set(ny)) >= 2:
-        numbers, _ = _fit(nown, nctx, np.array(ny), np.zeros((len(ny), 2)), 3, rng)
-    return Model(common, words.astype(np.float32), numbers.astype(np.float32), float(edge[0]), float(edge[1]))
-
-
-def train(df: DataFrame, key: str, text: str, sample: int = SAMPLE_DOCS) -> Model:
-    """The model, fitted on about ``sample`` documents of up to SAMPLE_CHARS characters, drawn by hash of the key.
-
-    Only weights come from the sample; the common words are counted over all documents.
+            node = nodes[i]
+            near = np.zeros((2, len(LABELS[node.kind])))
+            for e, js in ((0, (node.left, right.get(i, -1))), (1, node.links)):
+                for j in js:
+                    if j in marks:
+                        near[e, marks[j]] += 1
+            rows[node.kind].append((*node_features(node), m, near))
+    edge = np.array([0.5, 0.5])
+    weights: dict[str, np.ndarray] = {}
+    for kind, labels in LABELS.items():
+        if not rows[kind]:
+            continue
+        own, ctx, y, near = zip(*rows[kind], strict=True)
+        if len(set(y)) < 2 and kind in "wn":
+            continue
+        w, own_edge = _fit(list(own), list(ctx), np.array(y), np.array(near), len(labels), rng)
+        weights[kind] = w
+        if kind == "w":
+            edge = own_edge
+    words = weights["w"][1] - weights["w"][0] if "w" in weights else np.zeros(DIMENSIONS)
+    numbers = weights.get("n", np.zeros((3, DIMENSIONS)))
+    spans = {k: (weights[k][1] - weights[k][0]).astype(np.float32) for k in "ea" if k in weights}
+    return Model(common, words.astype(np.float32), numbers.astype(np.float32), float(edge[0]), float(edge[1]), spans)
+
+
+def train(df: DataFrame, key: str, text: str, sample: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
+    """The model, fitted on about ``sample`` different texts of ``sample_chars`` characters together, drawn by hash.
+
+    Texts of any length may be drawn. Only weights come from the sample; the common words are counted
+    over all different texts.
     """
-    usable = df.where((F.length(F.trim(text)) > 0) & (F.length(text) <= SAMPLE_CHARS))
-    n = usable.count()
-    share = min(1.0, sample / max(n, 1))
-    drawn = usable.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < share * (1 << 20)).select(text).limit(2 * sample)
-    return fit([r[0] for r in drawn.collect()], common=corpus_common_words(df, text))
+    texts = once_each(df, key, text)
+    n, chars = texts.agg(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
+    share = min(1.0, sample / max(n, 1), sample_chars / max(chars, 1))
+    drawn = texts.where(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < share * (1 << 20)).select("t").collect() if n else []
+    return fit(sorted(r["t"] for r in drawn), common=corpus_common_words(texts))
 
 
 def personal_information(df: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE_DOCS) -> DataFrame:

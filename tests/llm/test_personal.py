@@ -60,8 +60,8 @@ def test_common_words_of_all_documents(spark):
     texts = [document(rng)[0] for _ in range(400)]
     # lower case only in documents beyond the sample: too long for it, or not drawn
     texts += [RULE * 700 + "surat edaran berlaku.", *["Surat Edaran berlaku. Hadir Sumedha Olenrio."] * 150]
-    # a name part in lower case in two documents of many
-    texts += ["Saksi pertama bernama Sumedha Olenrio."] * 450 + ["tertulis sumedha saja."] * 2
+    # a name part in lower case in two documents of many different ones (copies count as one)
+    texts += [f"Saksi pertama bernama Sumedha Olenrio, berkas {i}." for i in range(450)] + ["tertulis sumedha saja."] * 2
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     common = train(df, "doc_id", "text", 300).common
     assert "edaran" in common and "sumedha" not in common
@@ -96,3 +96,39 @@ def test_edge_cases(spark):
     assert len(out) == len(texts) and out[0] is None and out[1] == ""
     assert personal_information(df.where("false")).count() == 0
     assert train(df.where("false"), "doc_id", "text").find("apa saja") == []
+
+
+def test_only_a_skip_edge_decides_a_number():
+    """A number that its own surroundings do not tell is a telephone number where another notation of it is labelled."""
+    rng = random.Random(2)
+    model = fit([document(rng)[0] for _ in range(400)])
+    alone = Model(model.common, model.words, model.numbers, model.chain, 0.0, model.spans)
+    text = "Telepon: 0849-2641-3245\nnomor 849-2641-3245 itu"
+    second = text.index("849-2641-3245 itu")
+    assert ("phone", second) in {f[:2] for f in model.find(text)} and ("phone", second) not in {f[:2] for f in alone.find(text)}
+
+
+def test_similar_words_are_joined():
+    nodes = read_nodes("Saksi Zulfandri hadir.\nLalu Zulfanderi pergi dan Quelmoza datang.", frozenset({"saksi", "lalu"}))
+    skip_links(nodes)
+    assert nodes[0].links == (1,) and nodes[1].links == (0,) and nodes[2].links == ()
+
+
+def test_evidence_crosses_many_mentions():
+    """Only the last of thirty mentions gives the name away; all are found."""
+    rng = random.Random(2)
+    model = fit([document(rng)[0] for _ in range(400)])
+    nodes = read_nodes("\n".join(["terlihat pula Zulfandri di balai."] * 30 + ["Saksi pertama bernama Zulfandri."]), model.common)
+    skip_links(nodes)
+    cut = Model(model.common, model.words, model.numbers, model.chain, 0.0, model.spans)
+    assert model.names(nodes)[0] > cut.names(nodes)[0]
+
+
+def test_roads_and_handles_are_weighed(spark):
+    rng = random.Random(9)
+    model = fit([document(rng)[0] for _ in range(400)])
+    text = RULE + "\nRuas Jalan Gelatik ditetapkan. Alamat Jl. Kenanga Raya No. 12A, Desa Sekajati.\nSurel rogi@warga.example"
+    got = {(k, text[a:b]) for k, a, b in model.find(text)}
+    assert ("address", "Jl. Kenanga Raya No. 12A") in got and ("email", "rogi@warga.example") in got and not any("Gelatik" in v for _, v in got)
+    copies = spark.createDataFrame([(i, "Surat Edaran berlaku.") for i in range(300)] + [(900 + i, f"surat edaran {i}") for i in range(2)], "doc_id bigint, text string")
+    assert "edaran" in train(copies, "doc_id", "text").common  # copies count as one text
