@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
-from statuta.llm.personal import Model, fit, mask, masked, personal_information, read_nodes, skip_links, train
+import numpy as np
+
+from statuta.llm.personal import DIMENSIONS, Model, Node, _h, fit, mask, masked, personal_information, read_nodes, skip_links, train
 
 FIRST = ["Rogiwara", "Sumedha", "Latunda", "Marosto", "Duripa", "Nesarsa", "Watulan", "Joranto"]
 LAST = ["Tarumaya", "Olenrio", "Harsukma", "Sentoko", "Kertanaya", "Wiramaja"]
@@ -115,13 +117,16 @@ def test_similar_words_are_joined():
 
 
 def test_evidence_crosses_many_mentions():
-    """Only the last of thirty mentions gives the name away; all are found."""
-    rng = random.Random(2)
-    model = fit([document(rng)[0] for _ in range(400)])
-    nodes = read_nodes("\n".join(["terlihat pula Zulfandri di balai."] * 30 + ["Saksi pertama bernama Zulfandri."]), model.common)
+    """What the last of sixty mentions says reaches the first, and passing has settled by then."""
+    nodes = [Node(i, i + 1, "w", "Zulfandri", "zulfandri", ("", "", "", "")) for i in range(60)]
+    nodes[-1].context = ("bernama", "", "", "")
     skip_links(nodes)
-    cut = Model(model.common, model.words, model.numbers, model.chain, 0.0, model.spans)
-    assert model.names(nodes)[0] > cut.names(nodes)[0]
+    model = Model(frozenset(), np.zeros(DIMENSIONS), np.zeros((3, DIMENSIONS)), 0.5, 2.0)
+    plain = model.names(nodes)
+    model.words[_h("p1=bernama")] = 8.0
+    model.known.clear()
+    told = model.names(nodes)
+    assert abs(plain[0]) < 1e-6 and told[0] > 0.05 and told == sorted(told)
 
 
 def test_roads_and_handles_are_weighed(spark):
