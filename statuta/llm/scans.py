@@ -65,13 +65,17 @@ _START = re.compile(r"^\s*([^\W\d_]\S*)")
 
 
 _FOLD = str.maketrans("0@4o1l|!]ji;c5f7q968bkr", "aaaaiiiiiiiiesttggbbbrr")
+_PROSE = re.compile(r"(?:^|\s)[a-z](?=[a-z\s]|$)(?!\S*[.:/]\w)")  # a word in lower case that is no host
+_PROSE_FOLD = str.maketrans("123456789", "000000000")
 _TOKEN = re.compile(r"[\w@|!\]]+")
 _GLUED = (("rn", "m"), ("vv", "w"), ("cl", "d"))
 
 
 def page_end(line: str) -> bool:
     """Whether a stripped line is a page number or announces the next page, by its form."""
-    return bool(_PAGE_LINE.match(line)) or (line[-1:] in (".", "…") and len(line) < 60 and bool(_CATCH_LINE.match(line)))
+    if len(line) >= 60:
+        return False
+    return bool(_PAGE_LINE.match(line)) or (line[-1] in ".…" and bool(_CATCH_LINE.match(line)))
 
 
 def forms_of(line: str) -> tuple[str, ...] | None:
@@ -80,7 +84,9 @@ def forms_of(line: str) -> tuple[str, ...] | None:
     The whole line, its first two words, its first word and number of words, its shape; digits count as #,
     letters that are misread for each other are one. Lower-case prose has only its whole line.
     """
-    head = _PAGE_END.sub("", line)
+    head = _PAGE_END.sub("", line) if "  " in line else line
+    if _PROSE.search(head):
+        return ("4" + head.lower().translate(_PROSE_FOLD),)
     tokens = []
     for t in _TOKEN.findall(head):
         if sum(c.isdigit() for c in t) * 2 >= len(t):
@@ -92,16 +98,14 @@ def forms_of(line: str) -> tuple[str, ...] | None:
         tokens.append(t.translate(_FOLD))
     if not tokens or (len(tokens) < 2 and len(head) < 5):
         return None
-    capitals, small = len(_NOT_CAPITAL.sub("", head)), len(_NOT_SMALL.sub("", head))
-    words = [w for w in head.split() if w[0].isalpha()]
-    if capitals >= 5 and small <= 1:
+    if len(_NOT_CAPITAL.sub("", head)) >= 5 and len(_NOT_SMALL.sub("", head)) <= 1:
         shape = "C"
-    elif len(head.split()) == 1 and any(c in ".:/" for c in head[1:-1]):
+    elif " " not in head and any(c in ".:/" for c in head[1:-1]):
         shape = "H"
-    elif words and all(w[0].isupper() for w in words) and head[-1] not in ".;:,":
+    elif any(w[0].isalpha() for w in head.split()) and head[-1] not in ".;:,":
         shape = "T#" if "#" in tokens else "T"
     else:
-        return ("4" + " ".join(tokens),)
+        return ("4" + head.lower().translate(_PROSE_FOLD),)
     return ("0" + " ".join(tokens), f"1{shape} {' '.join(tokens[:2])}", f"2{shape}{len(tokens)} {tokens[0]}", f"3{shape}" if shape in "CH" else f"3{shape}{len(tokens)}")
 
 
@@ -144,10 +148,14 @@ class Furniture:
             keys = np.array(sorted(forms), dtype=np.int64)
             forms = keys, np.array([forms[k] for k in keys.tolist()], dtype=bool)
         self.keys, self.verdicts = forms
+        # a dict is quicker than the arrays, but several times their size
+        self.table = dict(zip(self.keys.tolist(), self.verdicts.tolist(), strict=True)) if len(self.keys) <= 500_000 else None
         self.known: dict[str, tuple[bool, bool]] = {}
 
     def judged(self, form: str) -> bool | None:
         h = _hash(form)
+        if self.table is not None:
+            return self.table.get(h)
         at = int(np.searchsorted(self.keys, h))
         return bool(self.verdicts[at]) if at < len(self.keys) and self.keys[at] == h else None
 
