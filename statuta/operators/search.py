@@ -6,6 +6,7 @@ top-k is a partial sort in each task, and only one-row statistics or the rows of
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -87,18 +88,21 @@ def text_search(units: DataFrame, docs: DataFrame, query: str, filters: Filters
     return top(bm25(leaf_units(units, docs).where(filters.predicate()), query), limit, "score", "unit_row_id")
 
 
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity of two float arrays, computed in double; null where a norm is 0."""
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-    return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
+    return _dot(a, b) / F.nullif(F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)), F.lit(0.0))
 
 
 def vector_search(vectors: DataFrame, query: DataFrame, filters: Filters = Filters(), limit: int = 10, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """The rows of ``vectors`` nearest to the one vector of ``query`` (column q)."""
-    one = query.select("q").limit(1)
-    scored = vectors.where(filters.predicate()).join(F.broadcast(one)).withColumn("score", cosine(F.col(embedding), F.col("q"))).drop("q")
+    # the query's own norm is taken once, not once a row
+    one = query.select("q").limit(1).select(F.transform("q", lambda x: x.cast("double") / F.nullif(F.sqrt(_dot(F.col("q"), F.col("q"))), F.lit(0.0))).alias("q"))
+    norm = F.nullif(F.sqrt(_dot(F.col(embedding), F.col(embedding))), F.lit(0.0))
+    scored = vectors.where(filters.predicate()).join(F.broadcast(one)).withColumn("score", _dot(F.col(embedding), F.col("q")) / norm).drop("q")
     return top(scored.where("score is not null"), limit, "score", key)
 
 
@@ -107,6 +111,11 @@ def is_explicit(query: Column) -> Column:
     return reduce(lambda a, b: a | b, [query.rlike(p) for p in EXPLICIT])
 
 
+def is_explicit_text(query: str) -> bool:
+    """``is_explicit`` of one string on the driver."""
+    return any(re.search(p, query) for p in EXPLICIT)
+
+
 def citation_parts(query: Column) -> Column:
     """pasal, ayat, huruf, angka, bab and document of an explicit query; missing parts are null."""
     def part(pattern: str, group: int = 1) -> Column:
@@ -126,25 +135,36 @@ def citation_parts(query: Column) -> Column:
 
 
 def explicit_search(units: DataFrame, docs: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """Units that an explicit query cites, newest document first, each with score 1.
+    """Units that an explicit query cites, newest document first, each with score 1; ``docs`` has one row per doc_id."""
+    return explicit_units(units.join(docs, "doc_id"), query, limit)
+
+
+# Citation parts of a query from the innermost level outwards; group 1 is the number.
+_CITED = (
+    ("huruf", r"(?i)huruf\s+([a-z])\b"), ("angka", r"(?i)angka\s+(\d+)"), ("ayat", r"(?i)ayat\s*\(?(\d+)\)?"), ("pasal", r"(?i)(?:pasal|artikel|article)\s+(\d+[a-z]?)\b"), ("bab", r"(?i)\bbab\s+([ivxl]+|\d+)\b"),
+)
+_CITED_DOCUMENT = re.compile(r"(?i)\b(uu|pp|perpu|perpres)\s+(?:no\.?\s*)?(\d+)(?:/|\s+tahun\s+)(\d{4})")
+
+
+def explicit_units(units: DataFrame, query: str, limit: int = 20) -> DataFrame:
+    """Units (with the columns of their documents) that an explicit query cites, newest document first, with score 1.
 
     The innermost cited level selects the units, the outer levels must be among their ancestors. A query
-    that cites only a document gives its units; one that cites nothing gives no rows.
+    that cites only a document gives its units; one that cites nothing gives no rows. The query is read
+    on the driver, so type, number and document are plain predicates that the scan can push down.
     """
-    spark = units.sparkSession
-    refs = spark.range(1).select(citation_parts(F.lit(query)).alias("r")).select("r.*")
-    levels = [("huruf", "HURUF"), ("angka", "ANGKA"), ("ayat", "AYAT"), ("pasal", "PASAL"), ("bab", "BAB")]
-    rows = units.join(docs, "doc_id").join(F.broadcast(refs.select(*[F.col(c).alias(f"_r_{c}") for c in refs.columns])))
-    innermost = F.coalesce(*[F.when(F.col(f"_r_{name}").isNotNull(), F.lit(kind)) for name, kind in levels], F.lit("*"))
-    cond = (F.col("unit_type") == innermost) | (innermost == "*")
-    for name, _ in levels:
-        step = F.concat(F.lit(f"/{name}-"), F.lower(f"_r_{name}"), F.lit("/"))
-        cond = cond & (F.col(f"_r_{name}").isNull() | F.contains(F.concat(F.lower("unit_id"), F.lit("/")), step))
-    for name in ("doc_form", "doc_number", "doc_year"):
-        cond = cond & (F.col(f"_r_{name}").isNull() | (F.col(name) == F.col(f"_r_{name}")))
-    named = reduce(lambda a, b: a | b, [F.col(f"_r_{n}").isNotNull() for n in ("pasal", "ayat", "huruf", "angka", "bab", "doc_form")])
-    hits = rows.where(cond & named).drop(*[f"_r_{c}" for c in refs.columns]).withColumn("score", F.lit(1.0))
-    return hits.orderBy(F.desc("doc_year"), "ordinal_int", "unit_row_id").limit(limit)
+    cited = [(level, m[1].lower()) for level, pattern in _CITED if (m := re.search(pattern, query))]
+    document = _CITED_DOCUMENT.search(query)
+    if not cited and not document:
+        return units.where("false").withColumn("score", F.lit(1.0))
+    cond = F.lit(True)
+    if cited:
+        cond = cond & (F.col("unit_type") == cited[0][0].upper())
+        for level, number in cited:
+            cond = cond & F.contains(F.concat(F.lower("unit_id"), F.lit("/")), F.lit(f"/{level}-{number}/"))
+    if document:
+        cond = cond & (F.col("doc_form") == document[1].upper()) & (F.col("doc_number") == document[2]) & (F.col("doc_year") == int(document[3]))
+    return units.where(cond).withColumn("score", F.lit(1.0)).orderBy(F.desc("doc_year"), "ordinal_int", "unit_row_id").limit(limit)
 
 
 def supplemented(explicit: DataFrame, text: DataFrame, limit: int, key: str = "unit_row_id") -> DataFrame:

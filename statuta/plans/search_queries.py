@@ -5,22 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.functions import legal
 from statuta.operators import search as S
+from statuta.operators import service as V
 from statuta.operators.filters import Filters
+from statuta.operators.index import corpus_index_of, document_rows, index_of
 from statuta.operators.tree import keep_first
 from statuta.session import load
 
 TEXT_QUERY, TEXT_FILTERED = "laporan berkala wajib", "dokumen lingkungan"
+CONTEXT_LIMIT = 20
 QUERIES_TEXT = ("laporan berkala", "retribusi parkir", "baku mutu air")
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    """One row per document: its first crawl that is not deleted, with a numeric year."""
-    rows = load(spark, d, "legal_documents").where("deleted_at is null")
-    year = F.nullif(F.regexp_extract("doc_year", r"(\d{4})", 1), F.lit("")).cast("int")
-    rows = rows.select("doc_id", legal.known_form(F.col("doc_form")).alias("doc_form"), year.alias("doc_year"), "doc_number", legal.known_status(F.col("doc_status")).alias("doc_status"), "doc_row_id")
-    return rows.groupBy("doc_id").agg(*[F.min_by(c, "doc_row_id").alias(c) for c in ("doc_form", "doc_year", "doc_number", "doc_status")])
+    return document_rows(load(spark, d, "legal_documents"))
 
 
 def _units(spark: SparkSession, d: str) -> DataFrame:
@@ -32,20 +30,31 @@ _COLS = ("unit_row_id", "doc_id", "unit_id")
 
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: BM25 over documents and cosine over embeddings, weighted, fused, ranked."""
-    docs = load(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = corpus_index_of(spark, d, "documents", "doc_id", "text")
     vectors = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    text = S.top(S.bm25(docs, TEXT_QUERY, "text"), 20, "score", "id")
+    text = docs.top(TEXT_QUERY, leaves=False).select(F.col("doc_id").alias("id"), "score")
     near = S.vector_search(vectors, vectors.where("id = 0").select(F.col("embedding").alias("q")), limit=20, key="id")
     return S.fuse(near, text, "id", 20).select("id", F.round("score", 6).alias("score"), "source")
 
 
 def text_search(spark: SparkSession, d: str) -> DataFrame:
-    return S.text_search(_units(spark, d), _docs(spark, d), TEXT_QUERY).select(*_COLS, "unit_type", F.round("score", 6).alias("score"))
+    return index_of(spark, d).top(TEXT_QUERY).select(*_COLS, "unit_type", F.round("score", 6).alias("score"))
 
 
 def text_search_filtered(spark: SparkSession, d: str) -> DataFrame:
     f = Filters.from_text(doc_form="PERDA, PERMEN", doc_year="2001,2004,2010,2012,2016,2019,2022,2023", doc_status="Berlaku")
-    return S.text_search(_units(spark, d), _docs(spark, d), TEXT_FILTERED, f, 50).select(*_COLS, "doc_form", "doc_year", F.round("score", 6).alias("score"))
+    return index_of(spark, d).top(TEXT_FILTERED, f, 50).select(*_COLS, "doc_form", "doc_year", F.round("score", 6).alias("score"))
+
+
+def text_search_unindexed(spark: SparkSession, d: str) -> DataFrame:
+    """The same search by scanning all texts, for tables without an index."""
+    return S.text_search(_units(spark, d), _docs(spark, d), TEXT_QUERY).select(*_COLS, "unit_type", F.round("score", 6).alias("score"))
+
+
+def article_filtered_search(spark: SparkSession, d: str) -> DataFrame:
+    """Full text within articles 1 to 3 of chapters I and II and documents of given numbers (all optional filters at once)."""
+    f = Filters.from_text(pasal_number="1,2,3", bab_number="I,II", doc_number="1,2,3,4,5,6,7,8,9,10,11,12", unit_type="AYAT,HURUF")
+    return index_of(spark, d).top("wajib", f, 50).select(*_COLS, "unit_type", "pasal_number", "bab_number", F.round("score", 6).alias("score"))
 
 
 def vector_search(spark: SparkSession, d: str) -> DataFrame:
@@ -54,7 +63,10 @@ def vector_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_with_units(spark: SparkSession, d: str) -> DataFrame:
-    """Vector hits with the article of the same number, if there is one (left join, condition on the right)."""
+    """Vector hits with their unit where it is an article (left join, condition on the right).
+
+    The vectors of the test data name no unit; vector n stands for the unit of row id n, as in ``_service``.
+    """
     v = load(spark, d, "embeddings")
     hits = S.vector_search(v, v.where("vec_id = 3").select(F.col("embedding").alias("q")), limit=40)
     pasal = load(spark, d, "legal_units").where("unit_type = 'PASAL'").select(F.col("unit_row_id").alias("vec_id"), "unit_id", "citation_string")
@@ -62,14 +74,13 @@ def vector_with_units(spark: SparkSession, d: str) -> DataFrame:
 
 
 def explicit_search(spark: SparkSession, d: str) -> DataFrame:
-    return S.explicit_search(_units(spark, d), _docs(spark, d), "Pasal 2 ayat (1)", 40).select(*_COLS, "doc_year", "ordinal_int", "score")
+    return S.explicit_units(index_of(spark, d).units, "Pasal 2 ayat (1)", 40).select(*_COLS, "doc_year", "ordinal_int", "score")
 
 
 def explicit_supplemented(spark: SparkSession, d: str) -> DataFrame:
-    units, docs = _units(spark, d), _docs(spark, d)
-    found = S.explicit_search(units, docs, "Pasal 2 ayat (1) huruf c UU No. 1 Tahun 1993", 20).select(*_COLS, "score")
-    text = S.text_search(units, docs, "laporan berkala", limit=20).select(*_COLS, "score")
-    return S.supplemented(found, text, 20).select("unit_row_id", "source", F.round("score", 6).alias("score"))
+    index = index_of(spark, d)
+    found = S.explicit_units(index.units, "Pasal 2 ayat (1) huruf c UU No. 1 Tahun 1993", 20).select(*_COLS, "score")
+    return S.supplemented(found, index.top("laporan berkala").select(*_COLS, "score"), 20).select("unit_row_id", "source", F.round("score", 6).alias("score"))
 
 
 def query_routing(spark: SparkSession, d: str) -> DataFrame:
@@ -83,36 +94,75 @@ def query_citations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def related_units(spark: SparkSession, d: str) -> DataFrame:
-    units = _units(spark, d)
-    # the article with most units below it
-    head = units.where("parent_pasal_id is not null").groupBy("parent_pasal_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "parent_pasal_id").limit(1)
-    rows = units.join(F.broadcast(head.select(F.col("parent_pasal_id").alias("_p"))), (F.col("unit_id") == F.col("_p")) | (F.col("parent_pasal_id") == F.col("_p")))
-    return rows.select("unit_row_id", "unit_id", "unit_type", "ordinal_int", "ordinal_suffix").orderBy("ordinal_int", "ordinal_suffix", "unit_row_id")
+    """Related content of the article with most units below it."""
+    index = index_of(spark, d)
+    head = index.units.where("parent_pasal_id is not null").groupBy("parent_pasal_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "parent_pasal_id").first()
+    rows = V.SearchService(index).related(head[0] if head else "")
+    return rows.select("id", "unit_id", "unit_type", "ordinal_int", "ordinal_suffix", "citation", F.col("document.form").alias("doc_form"), F.col("document.year").alias("doc_year"))
 
 
 def document_outline(spark: SparkSession, d: str) -> DataFrame:
-    """Outline items of every document."""
-    units = _units(spark, d)
-    label = F.coalesce(F.nullif("label_display", F.lit("")), F.nullif("title", F.lit("")), F.col("unit_id"))
-    return units.select("doc_id", "unit_row_id", "unit_type", label.alias("label"), "seq_sort_key", F.when(F.col("unit_type") == "AYAT", F.col("local_content")).alias("content"))
+    """Outline of the document with most units, ordered by sort key, with the place of each item."""
+    index = index_of(spark, d)
+    head = index.units.groupBy("doc_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "doc_id").first()
+    return V.SearchService(index).outline(head[0] if head else "", with_content=True)
 
 
 def contextual_search(spark: SparkSession, d: str) -> DataFrame:
-    hits = S.text_search(_units(spark, d), _docs(spark, d), "laporan berkala", limit=40).select(*_COLS, "score")
-    return S.boosted(hits, ["/pasal-1/", "/bab-II/"], 20).select("unit_row_id", "unit_id", F.round("score", 6).alias("score"))
+    hits = index_of(spark, d).top("laporan berkala", limit=2 * CONTEXT_LIMIT).select(*_COLS, "score")
+    return S.boosted(hits, ["/pasal-1/", "/bab-II/"], CONTEXT_LIMIT).select("unit_row_id", "unit_id", F.round("score", 6).alias("score"))
 
 
 def multi_query_search(spark: SparkSession, d: str) -> DataFrame:
-    units = _units(spark, d).where(F.col("unit_type").isin("AYAT", "HURUF", "ANGKA"))
-    return S.multi_search(units, list(QUERIES_TEXT), "unit_row_id", "bm25_body").select("unit_row_id", "query_no", F.round("score", 6).alias("score"))
+    """Several queries at once: their best ten each, each unit once, the best twenty."""
+    rows = V.SearchService(index_of(spark, d)).search_all(list(QUERIES_TEXT))
+    return rows.select("id", "source_type", F.col("metadata")["original_rank"].cast("int").alias("original_rank"), F.round("score", 6).alias("score"))
+
+
+def _short_first(documents: DataFrame, query: str) -> DataFrame:
+    """Stand-in for an external scorer: shorter texts first, lettered items without a score."""
+    return documents.where("unit_type <> 'HURUF'").select("unit_row_id", (1000.0 / (1 + F.length("document_text"))).alias("relevance"))
 
 
 def reranked_search(spark: SparkSession, d: str) -> DataFrame:
-    units = _units(spark, d)
-    hits = S.text_search(units, _docs(spark, d), "laporan berkala", limit=40).select("unit_row_id", "score")
-    # stand-in for an external scorer: shorter texts first, lettered items without a score
-    outside = units.where("unit_type <> 'HURUF'").select("unit_row_id", (1000.0 / (1 + F.length("local_content"))).alias("relevance"))
-    return S.rerank(hits, outside, 20, "unit_row_id").select("unit_row_id", "original_rank", "source", F.round("score", 6).alias("score"))
+    V.register_reranker("short-first", _short_first)
+    rows = V.SearchService(index_of(spark, d), provider="short-first").search("laporan berkala", limit=20, strategy="fts", rerank=True)
+    return rows.select("id", F.col("metadata")["original_rank"].cast("int").alias("original_rank"), "source_type", F.round("score", 6).alias("score"))
+
+
+def _service(spark: SparkSession, d: str) -> V.SearchService:
+    """A service whose vectors are those of the test data; vector n stands for the unit of row id n."""
+    v = load(spark, d, "embeddings").select(F.col("vec_id").alias("unit_row_id"), "embedding")
+    return V.SearchService(index_of(spark, d), V.checked_vectors(v, dimension=64), lambda _: v.where("unit_row_id = 11").select(F.col("embedding").alias("q")))
+
+
+def _rows(response: DataFrame) -> DataFrame:
+    return response.select("id", "unit_id", "unit_type", F.col("document.form").alias("doc_form"), F.col("document.year").alias("doc_year"), "source_type", "strategy", F.round("score", 6).alias("score"))
+
+
+def service_auto_explicit(spark: SparkSession, d: str) -> DataFrame:
+    """Automatic choice for an explicit query that full text answers amply: it stays with full text."""
+    return _rows(_service(spark, d).search("ayat (1)", limit=10))
+
+
+def service_auto_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    """Automatic choice for a query in words: vectors and text, weighted and fused."""
+    return _rows(_service(spark, d).search("laporan berkala", limit=10))
+
+
+def service_empty(spark: SparkSession, d: str) -> DataFrame:
+    return _rows(_service(spark, d).search("   "))
+
+
+def service_log(spark: SparkSession, d: str) -> DataFrame:
+    """What the searches of a session leave in the log."""
+    service = _service(spark, d)
+    for q in ("laporan berkala", "Pasal 2 ayat (1)", " "):
+        service.search(q, limit=5)
+    out = service.log[0]
+    for row in service.log[1:]:
+        out = out.unionByName(row)
+    return out.select("query", "query_hash", "strategy", "result_limit")
 
 
 def term_statistics(spark: SparkSession, d: str) -> DataFrame:
@@ -127,7 +177,7 @@ def search_log(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    hybrid_search, text_search, text_search_filtered, vector_search, vector_with_units, explicit_search, explicit_supplemented, query_routing, query_citations,
+    hybrid_search, text_search, text_search_unindexed, text_search_filtered, article_filtered_search, service_auto_explicit, service_auto_hybrid, service_empty, service_log, vector_search, vector_with_units, explicit_search, explicit_supplemented, query_routing, query_citations,
     related_units, document_outline, contextual_search, multi_query_search, reranked_search, term_statistics, search_log,
 )}
 
@@ -160,6 +210,14 @@ def _cos(a: str, b: str) -> str:
 
 _BASE = f"WITH {DOCS}, {UNITS}, {LEAVES}"
 _HITS40 = f"{_BASE}, {bm25_sql('b', 'leaves', 'laporan berkala', 'bm25_body', 'unit_row_id')}, hits AS (SELECT * FROM b ORDER BY score DESC, unit_row_id LIMIT 40)"
+# the query vector is that of unit 11; both sides give ten rows, each unit keeps its best score
+_FUSED = f"""SELECT unit_row_id, score, source FROM (
+  SELECT unit_row_id, score * 0.6 AS score, 'vector' AS source, row_number() OVER (ORDER BY score DESC, unit_row_id) AS seq FROM (
+    SELECT vec_id AS unit_row_id, {_cos('embedding', '(SELECT embedding FROM embeddings WHERE vec_id = 11)')} AS score FROM embeddings JOIN (SELECT u.unit_row_id FROM units u JOIN docs USING (doc_id)) ON unit_row_id = vec_id ORDER BY score DESC, vec_id LIMIT 10)
+  UNION ALL SELECT unit_row_id, score / max(score) OVER () * 0.4, 'fts', row_number() OVER (ORDER BY score DESC, unit_row_id) + 1000000 FROM (SELECT unit_row_id, score FROM f ORDER BY score DESC, unit_row_id LIMIT 10)
+) QUALIFY row_number() OVER (PARTITION BY unit_row_id ORDER BY score DESC, seq) = 1 ORDER BY score DESC, seq, unit_row_id LIMIT 10"""
+_ANSWER = """SELECT r.unit_row_id AS id, u.unit_id AS unit_id, lower(u.unit_type) AS unit_type, d.r.doc_form AS doc_form, d.r.doc_year AS doc_year, source AS source_type, '{label}' AS strategy, round(r.score, 6) AS score
+FROM r JOIN units u ON u.unit_row_id = r.unit_row_id JOIN docs d ON d.doc_id = u.doc_id"""
 _LABEL = "coalesce(nullif(label_display, ''), nullif(title, ''), unit_id)"
 _EXPLICIT_SQL = "regexp_matches(q, '(?i)pasal\\s+[0-9]+[a-z]?|ayat\\s*\\([0-9]+\\)|ayat\\s+[0-9]+|huruf\\s*[a-z]|angka\\s*[0-9]+|artikel?\\s+[0-9]+|(uu|pp|perpu|perpres)\\s+(no\\.?\\s*)?[0-9]+(/|\\s+tahun\\s+)[0-9]{4}|bab\\s+([ivx]+|[0-9]+)')"
 
@@ -174,6 +232,18 @@ SELECT id, round(score, 6) AS score, source FROM (SELECT * FROM u QUALIFY row_nu
     "text_search": f"{_BASE}, {bm25_sql('b', 'leaves', TEXT_QUERY, 'bm25_body', 'unit_row_id')} SELECT unit_row_id, doc_id, unit_id, unit_type, round(score, 6) AS score FROM b ORDER BY b.score DESC, unit_row_id LIMIT 20",
     "text_search_filtered": f"""{_BASE}, {bm25_sql('b', 'leaves', TEXT_FILTERED, 'bm25_body', 'unit_row_id', "doc_form IN ('PERDA','PERMEN') AND doc_year IN (2001,2004,2010,2012,2016,2019,2022,2023) AND doc_status = 'Berlaku'")}
 SELECT unit_row_id, doc_id, unit_id, doc_form, doc_year, round(score, 6) AS score FROM b ORDER BY b.score DESC, unit_row_id LIMIT 50""",
+    "text_search_unindexed": f"{_BASE}, {bm25_sql('b', 'leaves', TEXT_QUERY, 'bm25_body', 'unit_row_id')} SELECT unit_row_id, doc_id, unit_id, unit_type, round(score, 6) AS score FROM b ORDER BY b.score DESC, unit_row_id LIMIT 20",
+    "article_filtered_search": f"""{_BASE}, n AS (SELECT *, nullif(regexp_extract(unit_id, '.*/pasal-([^/]*)', 1), '') AS pasal_number, nullif(regexp_extract(unit_id, '.*/bab-([^/]*)', 1), '') AS bab_number FROM leaves),
+{bm25_sql('b', 'n', 'wajib', 'bm25_body', 'unit_row_id', "pasal_number IN ('1','2','3') AND bab_number IN ('I','II') AND doc_number IN ('1','2','3','4','5','6','7','8','9','10','11','12') AND unit_type IN ('AYAT','HURUF')")}
+SELECT unit_row_id, doc_id, unit_id, unit_type, pasal_number, bab_number, round(score, 6) AS score FROM b ORDER BY b.score DESC, unit_row_id LIMIT 50""",
+    "service_auto_hybrid": f"""{_BASE}, {bm25_sql('f', 'leaves', 'laporan berkala', 'bm25_body', 'unit_row_id')}, r AS ({_FUSED})
+{_ANSWER.format(label='hybrid')}""",
+    "service_auto_explicit": f"""{_BASE}, {bm25_sql('f', 'leaves', 'ayat (1)', 'bm25_body', 'unit_row_id')}, t AS (SELECT * FROM f ORDER BY score DESC, unit_row_id LIMIT 30), h AS ({_FUSED}),
+r AS (SELECT unit_row_id, score, 'fts' AS source FROM (SELECT * FROM t ORDER BY score DESC, unit_row_id LIMIT 10) WHERE (SELECT count(*) FROM t) >= 10
+  UNION ALL SELECT * FROM h WHERE (SELECT count(*) FROM t) < 10)
+{_ANSWER.format(label='fts')}""",
+    "service_empty": "SELECT CAST(0 AS BIGINT) AS id, '' AS unit_id, '' AS unit_type, '' AS doc_form, CAST(0 AS INTEGER) AS doc_year, '' AS source_type, '' AS strategy, CAST(0 AS DOUBLE) AS score WHERE false",
+    "service_log": "SELECT q AS query, sha256(q) AS query_hash, s AS strategy, CAST(5 AS INTEGER) AS result_limit FROM (VALUES ('laporan berkala', 'hybrid'), ('Pasal 2 ayat (1)', 'fts'), (' ', 'empty_query')) AS t(q, s)",
     "vector_search": f"WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 7), s AS (SELECT vec_id, label, {_cos('embedding', 'q')} AS s FROM embeddings, q) SELECT vec_id, label, round(s, 6) AS score FROM s ORDER BY s DESC, vec_id LIMIT 15",
     "vector_with_units": f"""WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 3), s AS (SELECT vec_id, {_cos('embedding', 'q')} AS s FROM embeddings, q ORDER BY s DESC, vec_id LIMIT 40)
 SELECT vec_id, unit_id, coalesce(citation_string, 'Pasal ' || CAST(vec_id AS VARCHAR)) AS citation, round(s, 6) AS score FROM s LEFT JOIN legal_units ON unit_row_id = vec_id AND unit_type = 'PASAL'""",
@@ -190,18 +260,21 @@ UNION ALL SELECT unit_row_id, 'fts', round(score, 6) FROM x, (SELECT count(*) AS
     "query_citations": """SELECT unit_row_id, nullif(upper(regexp_extract(c, '(?i)(?:pasal|artikel|article)\\s+([0-9]+[a-z]?)\\b', 1)), '') AS pasal,
 nullif(regexp_extract(c, '(?i)ayat\\s*\\(?([0-9]+)\\)?', 1), '') AS ayat, nullif(lower(regexp_extract(c, '(?i)huruf\\s+([a-z])\\b', 1)), '') AS huruf
 FROM (SELECT unit_row_id, citation_string AS c FROM legal_units)""",
-    "related_units": f"""WITH {UNITS}, h AS (SELECT parent_pasal_id AS p, count(*) AS n FROM units WHERE parent_pasal_id IS NOT NULL GROUP BY 1 ORDER BY n DESC, p LIMIT 1)
-SELECT unit_row_id, unit_id, unit_type, ordinal_int, ordinal_suffix FROM units, h WHERE unit_id = p OR parent_pasal_id = p""",
-    "document_outline": f"WITH {UNITS} SELECT doc_id, unit_row_id, unit_type, {_LABEL} AS label, seq_sort_key, CASE WHEN unit_type = 'AYAT' THEN local_content END AS content FROM units",
+    "related_units": f"""{_BASE}, x AS (SELECT u.*, r FROM units u JOIN docs USING (doc_id)), h AS (SELECT parent_pasal_id AS p, count(*) AS n FROM x WHERE parent_pasal_id IS NOT NULL GROUP BY 1 ORDER BY n DESC, p LIMIT 1)
+SELECT unit_row_id AS id, unit_id, lower(coalesce(unit_type, 'pasal')) AS unit_type, ordinal_int, ordinal_suffix, coalesce(citation_string, 'Pasal ' || unit_id) AS citation, r.doc_form AS doc_form, r.doc_year AS doc_year FROM x, h WHERE unit_id = p OR parent_pasal_id = p""",
+    "document_outline": f"""{_BASE}, x AS (SELECT u.* FROM units u JOIN docs USING (doc_id)), h AS (SELECT doc_id AS p, count(*) AS n FROM x GROUP BY 1 ORDER BY n DESC, p LIMIT 1)
+SELECT unit_row_id, unit_type, unit_id, {_LABEL} AS label, citation_string, local_content AS content FROM x, h WHERE doc_id = p""",
     "contextual_search": f"""{_HITS40}, x AS (SELECT unit_row_id, unit_id, score * CASE WHEN contains(unit_id, '/pasal-1/') OR contains(unit_id, '/bab-II/') THEN 1.2 ELSE 1 END AS s FROM hits)
 SELECT unit_row_id, unit_id, round(s, 6) AS score FROM x ORDER BY s DESC, unit_row_id LIMIT 20""",
-    "multi_query_search": f"""WITH {UNITS}, l AS (SELECT unit_row_id, bm25_body FROM units WHERE unit_type IN ('AYAT','HURUF','ANGKA')),
-{', '.join(bm25_sql(f'b{i}', 'l', q, 'bm25_body', 'unit_row_id') for i, q in enumerate(QUERIES_TEXT))},
-u AS ({' UNION ALL '.join(f'(SELECT unit_row_id, score, {i} AS query_no FROM b{i} ORDER BY score DESC, unit_row_id LIMIT 10)' for i in range(len(QUERIES_TEXT)))})
-SELECT unit_row_id, query_no, round(s, 6) AS score FROM (SELECT unit_row_id, query_no, score AS s FROM u QUALIFY row_number() OVER (PARTITION BY unit_row_id ORDER BY score DESC, query_no) = 1) ORDER BY s DESC, query_no, unit_row_id LIMIT 20""",
-    "reranked_search": f"""{_HITS40}, k AS (SELECT unit_row_id, score, row_number() OVER (ORDER BY score DESC, unit_row_id) - 1 AS original_rank FROM hits),
-x AS (SELECT k.unit_row_id, original_rank, coalesce(1000.0::DOUBLE / (1 + length(local_content)), score) AS s FROM k LEFT JOIN (SELECT * FROM units WHERE unit_type <> 'HURUF') o USING (unit_row_id))
-SELECT unit_row_id, CAST(original_rank AS INTEGER) AS original_rank, 'reranked' AS source, round(s, 6) AS score FROM x ORDER BY s DESC, unit_row_id LIMIT 20""",
+    "multi_query_search": f"""{_BASE},
+{', '.join(bm25_sql(f'b{i}', 'leaves', q, 'bm25_body', 'unit_row_id') for i, q in enumerate(QUERIES_TEXT))},
+u AS ({' UNION ALL '.join(f'(SELECT unit_row_id, score, {i} AS query_no FROM b{i} ORDER BY score DESC, unit_row_id LIMIT 10)' for i in range(len(QUERIES_TEXT)))}),
+x AS (SELECT unit_row_id, score AS s, query_no FROM u QUALIFY row_number() OVER (PARTITION BY unit_row_id ORDER BY score DESC, query_no) = 1),
+y AS (SELECT * FROM x ORDER BY s DESC, query_no, unit_row_id LIMIT 20)
+SELECT unit_row_id AS id, 'fts' AS source_type, CAST(row_number() OVER (ORDER BY s DESC, unit_row_id) - 1 AS INTEGER) AS original_rank, round(s, 6) AS score FROM y""",
+    "reranked_search": f"""{_HITS40}, k AS (SELECT *, row_number() OVER (ORDER BY score DESC, unit_row_id) - 1 AS original_rank FROM hits),
+x AS (SELECT unit_row_id, original_rank, unit_type <> 'HURUF' AS scored, CASE WHEN unit_type <> 'HURUF' THEN 1000.0::DOUBLE / (1 + length(coalesce(citation_string, '') || ': ' || coalesce(bm25_body, local_content, ''))) ELSE score END AS s FROM k)
+SELECT unit_row_id AS id, CAST(original_rank AS INTEGER) AS original_rank, CASE WHEN scored THEN 'fts_reranked' ELSE 'fts' END AS source_type, round(s, 6) AS score FROM x ORDER BY s DESC, unit_row_id LIMIT 20""",
     "term_statistics": """WITH p AS (SELECT unit_row_id, unnest(list_filter(string_split_regex(lower(bm25_body), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM legal_units WHERE bm25_body IS NOT NULL)
 SELECT term, count(DISTINCT unit_row_id) AS df, count(*) AS occurrences FROM p GROUP BY term""",
     "search_log": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(avg(value), 4) AS mean_value, round(max(value), 4) AS max_value FROM events GROUP BY 1, 2",
