@@ -33,6 +33,26 @@ EDGE_TYPES = (
 )
 
 
+# Numbers of the regulation types in the portal's search.
+TYPE_NUMBERS = {
+    "uud": "7", "ketetapan_mpr": "39", "uu": "8", "uudarurat": "36", "perpu": "9", "pp": "10", "perpres": "11", "keppres": "12", "inpres": "13", "peraturan_mendagri": "40", "peraturan_menkeu": "42",
+    "peraturan_menpolhukam": "43", "peraturan_menlu": "45", "peraturan_menhukham": "46", "peraturan_menhan": "47", "peraturan_menhub": "48", "pergub": "20", "perbup": "23", "peraturan_walikota": "30",
+}
+
+
+def type_number(kind: Column) -> Column:
+    """The portal's number of a regulation type (any case, blanks or underscores); null for others."""
+    key = F.regexp_replace(F.lower(F.trim(kind)), r"\s+", "_")
+    return F.create_map(*[F.lit(x) for pair in TYPE_NUMBERS.items() for x in pair])[key]
+
+
+def title_kind(title: Column) -> Column:
+    """struct(kind, number, year) of a title by five kinds in order; the first that occurs anywhere wins."""
+    kinds = ("UU|Undang-Undang", r"PP|Peraturan\s+Pemerintah", r"Permen|Peraturan\s+Menteri", r"Perpres|Peraturan\s+Presiden", r"Perda|Peraturan\s+Daerah")
+    patterns = [rf"(?i)({k})\s*(?:No\.?|Nomor)\s*(\d+)\s*Tahun\s*(\d{{4}})" for k in kinds]
+    return F.struct(*[F.coalesce(*[F.nullif(F.regexp_extract(title, p, i), F.lit("")) for p in patterns]).alias(n) for i, n in ((1, "kind"), (2, "number"), (3, "year"))])
+
+
 def _first_in(text: Column, pairs, otherwise: Column) -> Column:
     """Value of the first pair whose phrase occurs in ``text``."""
     return reduce(lambda rest, p: F.when(F.contains(text, F.lit(p[0])), p[1]).otherwise(rest), reversed(list(pairs)), otherwise)

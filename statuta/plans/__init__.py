@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("nested_queries", "search_queries", "document_queries", "text_queries")
+_MODULES = ("nested_queries", "search_queries", "document_queries", "text_queries", "page_queries", "indexing_queries")
 
 
 def collect() -> tuple[dict, dict]:
