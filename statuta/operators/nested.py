@@ -33,13 +33,16 @@ def _as_list(value: Column, decode: int = 2) -> Column:
     """The children of a node in whatever shape they are stored, as an array of variants.
 
     A list stays as it is, a lone object becomes a list of one, a string is read as JSON (up to
-    ``decode`` times over), anything else has no children.
+    ``decode`` times over; JSON in a string beyond that fails the query), anything else has no children.
     """
     shape = _shape(value)
     out = F.when(shape == "ARRAY", value.cast("array<variant>")).when(shape == "OBJECT", F.array(value))
     if decode:
         inner = F.try_parse_json(value.cast("string"))
         out = out.when(shape == "STRING", F.get(F.transform(F.array(inner), lambda v: _as_list(v, decode - 1)), F.lit(0)))
+    else:
+        deeper = F.coalesce(_shape(F.try_parse_json(value.cast("string"))).isin("ARRAY", "OBJECT", "STRING"), F.lit(False))
+        out = out.when((shape == "STRING") & deeper, F.raise_error(F.lit("children are JSON in a string too many times over")).cast("array<variant>"))
     return out
 
 

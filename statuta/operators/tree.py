@@ -29,7 +29,10 @@ LEVELS = (
     ("huruf", 7.0, re.compile(r"([a-z])\.(?=\s|$)")),
 )
 AMENDING = re.compile(r"disisipkan|diubah|dicabut|ditambahkan|\d+\.\s+(?:di\s*antara|setelah|sebelum)", re.I)
-NOISE = re.compile(r"REPUBLIK INDONESIA|DENGAN RAHMAT TUHAN YANG MAHA ESA$|Page\s+\d+\s*$")
+NOISE = re.compile(r"(?:PRESIDEN\s+)?REPUBLIK INDONESIA$|PRESIDEN$|DENGAN RAHMAT TUHAN YANG MAHA ESA|(?:Page|Halaman)\s+\d+(?:\s+(?:of|dari)\s+\d+)?\s*$|-\s*\d+\s*-$")
+#: Types whose text may be of any length, and the least length of running text of others.
+ITEMS, SHORTEST = ("ayat", "huruf", "angka"), 5
+MARKER = re.compile(r"\(\d\)$|[a-z0-9]{1,2}[.)]$|[IVX]+$")
 _FIELDS = ["seq", "depth", "type", "number", "title", "local_content", "unit_id", "parent_unit_id", "parent_pasal_id", "path_types", "path_labels", "path_ids"]
 _SCHEMA = (
     "doc_id string, seq int, depth int, type string, number string, title string, local_content string, unit_id string, parent_unit_id string,"
@@ -61,13 +64,15 @@ def parse(doc_id: str, text: str | None) -> list[tuple]:
     amending = False
     for raw in (text or "").splitlines():
         line = raw.strip()
-        if len(line) < 2 or NOISE.match(line):
+        # lines of up to three characters are noise unless they are markers of verses and items
+        if len(line) < 2 or NOISE.match(line) or (len(line) <= 3 and not MARKER.match(line)):
             continue
         if AMENDING.search(line):
             amending = True
         found = classify(line, amending)
         if found is None:
-            stack[-1]["text"].append(line)
+            if not (stack[-1]["type"] in ITEMS and stack[-1]["text"][-1:] == [line]):  # a list item's line read twice
+                stack[-1]["text"].append(line)
             continue
         kind, level, number, rest = found
         if kind in ("buku", "bab", "bagian"):
@@ -91,6 +96,8 @@ def parse(doc_id: str, text: str | None) -> list[tuple]:
     out = []
     for seq, n in enumerate(nodes):
         body = re.sub(r"^\s*[,;.]\s*", "", " ".join(n["text"])).strip()
+        if len(body) < SHORTEST and n["type"] not in ITEMS:  # crumbs of running text
+            body = ""
         title = n["title"]
         if title is None and n["type"] in ("buku", "bab", "bagian", "paragraf") and body:
             title, body = body, ""

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statuta.functions import html, legal
-from statuta.functions.citation import read_reference  # noqa: F401  (part of the public surface)
 from statuta.operators import quality
 from statuta.operators.orphans import details_number
+from statuta.operators.service import preview
 from statuta.session import load
 from statuta.sources import writers
 
@@ -39,6 +39,22 @@ def new_subjects(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("y > 2000").join(known, "subject", "left_anti").groupBy("subject").agg(F.countDistinct("doc_id").alias("n_documents"))
 
 
+def subject_dimension(spark: SparkSession, d: str) -> DataFrame:
+    """The subjects of older documents, with those created for the newer ones."""
+    rows = document_subjects(spark, d).join(_legal(spark, d).select("doc_id", F.expr("try_cast(doc_year as int)").alias("y")).distinct(), "doc_id")
+    return writers.with_dimension(rows.where("y <= 2000").select("subject").distinct(), rows.where("y > 2000"), "subject")
+
+
+def extraction_choice(spark: SparkSession, d: str) -> DataFrame:
+    """The extraction that trying the back ends in order takes: the first above 80, else the best of all."""
+    c = F.col
+    rank = F.when(c("method") == "pymupdf", 0).when(c("method") == "pdfplumber", 1).when(c("method") == "pypdf", 2).otherwise(3)
+    rows = load(spark, d, "extraction_results").withColumn("score", legal.extraction_score(c("success"), c("confidence"), c("text"), c("method"))).withColumn("rank", rank)
+    good = c("score") > 80
+    order = F.struct((~good).alias("a"), F.when(good, c("rank")).otherwise(0).alias("b"), F.when(good, 0.0).otherwise(-c("score")).alias("c"), c("rank"), c("extraction_id"))
+    return rows.groupBy("doc_id").agg(F.min_by(F.struct("extraction_id", "method", F.round("score", 4).alias("score")), order).alias("b")).select("doc_id", "b.*")
+
+
 def document_counts(spark: SparkSession, d: str) -> DataFrame:
     return _legal(spark, d).groupBy(legal.known_form(F.col("doc_form")).alias("doc_form"), legal.known_status(F.col("doc_status")).alias("doc_status")).agg(
         F.count("*").alias("n_rows"), F.countDistinct("doc_id").alias("n_documents"), F.sum(F.length("doc_content")).alias("n_chars")
@@ -54,7 +70,7 @@ def run_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recent_documents(spark: SparkSession, d: str) -> DataFrame:
-    return _legal(spark, d).orderBy(F.desc("ingested_at"), "doc_row_id").limit(5).select("doc_row_id", "doc_id", F.when(F.length("doc_title") > 60, F.concat(F.substring("doc_title", 1, 60), F.lit("..."))).otherwise(F.col("doc_title")).alias("preview"))
+    return _legal(spark, d).orderBy(F.desc("ingested_at"), "doc_row_id").limit(5).select("doc_row_id", "doc_id", preview(F.col("doc_content")).alias("preview"))
 
 
 def new_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -154,7 +170,7 @@ def extraction_confidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    document_records, document_subjects, new_subjects, document_counts, run_statistics, recent_documents, new_documents, merged_documents, text_fallback, repeated_documents, repeated_units,
+    document_records, document_subjects, new_subjects, subject_dimension, extraction_choice, document_counts, run_statistics, recent_documents, new_documents, merged_documents, text_fallback, repeated_documents, repeated_units,
     validated_documents, validation_summary, document_dates, document_ids, title_parts, status_keywords, relationship_counts, distinct_references, pdf_sources, extraction_ranking, extraction_confidence,
 )}
 
@@ -193,10 +209,15 @@ ORACLES = {
     "document_subjects": f"WITH {_SUBJECTS} SELECT * FROM subjects",
     "new_subjects": f"""WITH {_SUBJECTS}, y AS (SELECT DISTINCT doc_id, TRY_CAST(doc_year AS INTEGER) AS y FROM legal_documents), r AS (SELECT * FROM subjects JOIN y USING (doc_id))
 SELECT subject, count(DISTINCT doc_id) AS n_documents FROM r WHERE y > 2000 AND subject NOT IN (SELECT subject FROM r WHERE y <= 2000) GROUP BY subject""",
+    "subject_dimension": f"WITH {_SUBJECTS} SELECT DISTINCT subject FROM subjects JOIN (SELECT DISTINCT doc_id, TRY_CAST(doc_year AS INTEGER) AS y FROM legal_documents) USING (doc_id) WHERE y IS NOT NULL",
+    "extraction_choice": """WITH s AS (SELECT doc_id, extraction_id, method, CASE method WHEN 'pymupdf' THEN 0 WHEN 'pdfplumber' THEN 1 WHEN 'pypdf' THEN 2 ELSE 3 END AS rank,
+CASE WHEN NOT coalesce(success, false) OR coalesce(length(text), 0) = 0 THEN 0.0 ELSE least(100.0, coalesce(confidence, 0.0) + CASE WHEN length(text) > 5000 THEN 10 WHEN length(text) > 1000 THEN 5 ELSE 0 END
++ CASE method WHEN 'pymupdf' THEN 5 WHEN 'pdfplumber' THEN 3 ELSE 0 END) END AS score FROM extraction_results)
+SELECT doc_id, extraction_id, method, round(CAST(score AS DOUBLE), 4) AS score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score <= 80, CASE WHEN score > 80 THEN rank ELSE 0 END, CASE WHEN score > 80 THEN 0 ELSE -score END, rank, extraction_id) = 1""",
     "document_counts": f"SELECT {_FORM} AS doc_form, {_STATUS} AS doc_status, count(*) AS n_rows, count(DISTINCT doc_id) AS n_documents, CAST(sum(length(doc_content)) AS BIGINT) AS n_chars FROM legal_documents GROUP BY 1, 2",
     "run_statistics": """SELECT (SELECT count(DISTINCT doc_id) FROM legal_documents) AS n_documents, (SELECT count(*) FROM legal_units) AS n_units,
 (SELECT count(*) FROM legal_units WHERE unit_type = 'PASAL') AS n_pasal, (SELECT count(*) FROM extraction_results WHERE NOT success) AS n_errors""",
-    "recent_documents": "SELECT doc_row_id, doc_id, CASE WHEN length(doc_title) > 60 THEN substring(doc_title, 1, 60) || '...' ELSE doc_title END AS preview FROM legal_documents ORDER BY ingested_at DESC, doc_row_id LIMIT 5",
+    "recent_documents": "SELECT doc_row_id, doc_id, CASE WHEN length(doc_content) > 200 THEN substring(doc_content, 1, 200) || '...' ELSE doc_content END AS preview FROM legal_documents ORDER BY ingested_at DESC, doc_row_id LIMIT 5",
     "new_documents": """SELECT doc_id, min(ingested_at) AS ingested_at FROM legal_documents WHERE ingested_at >= TIMESTAMP '2023-01-01' AND doc_id NOT IN (SELECT doc_id FROM legal_documents WHERE ingested_at < TIMESTAMP '2023-01-01' AND doc_id IS NOT NULL) GROUP BY doc_id""",
     "merged_documents": """WITH f AS (SELECT doc_id, arg_min(struct_pack(t := doc_title, c := doc_content, s := doc_processing_status), doc_row_id) AS a, arg_max(struct_pack(c := doc_content, s := doc_processing_status), doc_row_id) AS z FROM legal_documents GROUP BY doc_id)
 SELECT doc_id, a.t AS doc_title, md5(coalesce(z.c, a.c)) AS content_hash, coalesce(z.s, a.s) AS doc_processing_status FROM f""",

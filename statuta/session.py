@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from pathlib import Path
 
@@ -30,11 +31,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints.
 
-    A cluster names it in ``spark.checkpoint.dir``; only a session without that setting (tests, a
-    laptop) gets a folder of its own.
+    A cluster names it in ``spark.checkpoint.dir``, and a query fails there without it; only a session in
+    one JVM (tests, a laptop) gets a folder of its own.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="statuta-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", shared)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():

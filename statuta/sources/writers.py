@@ -10,13 +10,23 @@ TREE_FIELDS = ("document_tree", "doc_content", "doc_processing_status")
 
 
 def new_only(incoming: DataFrame, existing: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Incoming records whose key does not exist yet, each key once."""
-    return incoming.join(existing.select(key), key, "left_anti").dropDuplicates([key])
+    """Incoming records whose key does not exist yet, each key once (see ``one_each``)."""
+    return one_each(incoming.join(existing.select(key), key, "left_anti"), key)
+
+
+def one_each(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """Each key once: the first row by the columns ``order``, ties and no order falling to the smaller content.
+
+    A null key is a key.
+    """
+    row = F.struct(*df.columns)
+    picked = df.groupBy(F.col(key).alias("_key")).agg(F.min_by(row, F.struct(*[F.col(c) for c in order], F.to_json(row).alias("_j"))).alias("_r"))
+    return picked.select("_r.*")
 
 
 def merged(existing: DataFrame, incoming: DataFrame, key: str = "doc_id", replace: tuple[str, ...] = TREE_FIELDS) -> DataFrame:
     """``existing`` with the fields ``replace`` taken from ``incoming`` where it has them, plus new records."""
-    fresh = incoming.dropDuplicates([key])
+    fresh = one_each(incoming, key)
     update = fresh.select(key, *[F.col(c).alias(f"_new_{c}") for c in replace if c in fresh.columns])
     old = existing.join(update, key, "left")
     for c in replace:
@@ -30,6 +40,16 @@ def first_text(*columns: str) -> Column:
     return F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in columns])
 
 
+def write_texts(df: DataFrame, path: str, key: str, *columns: str) -> None:
+    """Writes the first of ``columns`` that is not empty as one text file per row, below a folder named by its key."""
+    df.select(F.col(key), first_text(*columns).alias("value")).where("value is not null").write.mode("overwrite").partitionBy(key).text(path)
+
+
+def with_dimension(dimension: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
+    """``dimension`` with the values of ``incoming`` that it lacks: get or create for all of them at once."""
+    return dimension.select(key).unionByName(new_only(incoming.select(key).where(F.col(key).isNotNull()), dimension, key)).distinct()
+
+
 def append(df: DataFrame, path: str, *partition: str) -> None:
     """Appends to a Parquet table, partitioned by the given columns."""
     df.write.mode("append").partitionBy(*partition).parquet(path)
