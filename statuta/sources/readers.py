@@ -20,7 +20,7 @@ def file_stem():
 
 def text_files(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     """file_stem and whole text of each file."""
-    return spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path).select(file_stem().alias("file_stem"), F.col("value").alias("text"))
+    return spark.read.option("pathGlobFilter", glob).text(path, wholetext=True).select(file_stem().alias("file_stem"), F.col("value").alias("text"))
 
 
 def with_texts(documents: DataFrame, texts: DataFrame) -> DataFrame:
