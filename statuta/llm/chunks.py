@@ -40,7 +40,7 @@ def _atoms(text: str, most: int) -> tuple[list[int], list[int]]:
         power.append(s)
         while b - a > most:
             # words as long as they help, else inside a word
-            cut = next((m.end() for m in reversed(list(_WORD.finditer(text, a + most // 2, a + most)))), None)
+            cut = next((m.end() for m in reversed(list(_WORD.finditer(text, a + most // 2, a + most)))), None)  # a window of the text, not its rest
             power.append(WORD if cut else INSIDE)
             a = cut or a + most
             out.append(a)
@@ -91,14 +91,18 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int
     return [(a - overlap if a else 0, b, s) for a, b, s in cores]
 
 
-_SPANS = "array<struct<start: int, end: int, boundary: int>>"
+_SPANS = "array<struct<start: int, end: int, boundary: int, piece: string>>"
 
 
-def spans(text: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Column:
-    """The pieces of a text longer than ``limit`` as an array of spans (counted from 0)."""
+def spans(text: Column, limit: int = LIMIT, overlap: int = OVERLAP, with_text: bool = True) -> Column:
+    """The pieces of a text longer than ``limit`` as an array of spans (counted from 0), with their text if asked.
+
+    A long text is cut where it is in memory once: cutting each piece out of the whole text again would
+    cost its length for every piece.
+    """
 
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"start": a, "end": b, "boundary": s} for a, b, s in cut(t, limit, overlap)] if t is not None else None)
+        return texts.map(lambda t: [{"start": a, "end": b, "boundary": s, "piece": t[a:b] if with_text else None} for a, b, s in cut(t, limit, overlap)] if t is not None else None)
 
     return F.pandas_udf(run, _SPANS)(text)
 
@@ -115,10 +119,10 @@ def pieces(df: DataFrame, key: str, columns: list[str], limit: int = LIMIT, over
     if not 0 <= overlap * 2 < limit:
         raise ValueError("the overlap must be at least 0 and shorter than half the limit")
     values = df.select(F.col(key).alias("_k"), F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("text")) for c in columns])).alias("v")).select("_k", "v.*")
-    long = values.where(F.length("text") > limit).withColumn("spans", spans(F.col("text"), limit, overlap))
-    short = values.where(F.length("text") <= limit).withColumn("spans", F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("end"), F.lit(0).alias("boundary"))))
-    both = long.unionByName(short).select("_k", "field_name", "text", F.size("spans").alias("n_pieces"), F.posexplode("spans").alias("piece_no", "s"))
-    text = [F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("piece")] if with_text else []
+    long = values.where(F.length("text") > limit).withColumn("spans", spans(F.col("text"), limit, overlap, with_text))
+    short = values.where(F.length("text") <= limit).withColumn("spans", F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("end"), F.lit(0).alias("boundary"), (F.col("text") if with_text else F.lit(None).cast("string")).alias("piece"))))
+    both = long.unionByName(short).select("_k", "field_name", F.size("spans").alias("n_pieces"), F.posexplode("spans").alias("piece_no", "s"))
+    text = [F.col("s.piece").alias("piece")] if with_text else []
     return both.select(F.col("_k").alias(key), "field_name", "piece_no", "n_pieces", F.col("s.start").alias("start_pos"), F.col("s.end").alias("end_pos"), F.col("s.boundary").alias("boundary"), *text)
 
 
