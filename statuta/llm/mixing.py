@@ -16,7 +16,8 @@ from pyspark.sql.window import Window
 from statuta.llm.tokens import VOCABULARY, n_tokens
 from statuta.session import checkpoint
 
-BUCKETS = 4_096
+#: Key buckets of a source; at most so many sums per source are broadcast, whatever the number of texts.
+BUCKETS = 1_024
 #: Most target sources for which budgets and bucket sums are broadcast; those of more are joined by shuffle.
 MAX_SOURCES = 500
 
@@ -78,14 +79,17 @@ def mix(
     """
     sized = docs.select(F.col(key).alias("_k"), F.col(source).alias("source"), n_tokens(F.col(text), vocabulary).alias("n_tokens"), quality_weight(F.col(text)).alias("_w"))
     # read several times below: one pass of the tokenizer, kept in the shared folder
-    sized = checkpoint(sized.where("source is not null and n_tokens > 0").withColumn("_key", exponential_key(F.col("_k"), F.col("_w"), seed)).drop("_w"))
+    sized = checkpoint(sized.where("source is not null and n_tokens > 0").withColumn("_key", exponential_key(F.col("_k"), F.col("_w"), seed)))
     plan = plan_of(sized, targets, total_tokens)
     few = targets.select("source").distinct().limit(MAX_SOURCES + 1).count() <= MAX_SOURCES
 
     def side(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if few else df
 
-    placed = sized.join(side(plan), "source").withColumn("_bucket", F.floor((1 - F.exp(-F.col("_key"))) * buckets).cast("int"))
+    # keys of weight w lie around 1 / w; scaled by the source's mean weight, this map spreads them evenly and,
+    # with its long tail, keeps light texts of a source of heavy ones out of one last bucket
+    scaled = F.col("_key") * F.col("mean_weight")
+    placed = sized.drop("_w").join(side(plan), "source").withColumn("_bucket", F.floor(scaled / (1 + scaled) * buckets).cast("int"))
     sums = placed.where("rest > 0").groupBy("source", "_bucket").agg(F.sum("n_tokens").alias("_sum"))
     order = Window.partitionBy("source").orderBy("_bucket")
     # rows per source are at most the number of buckets
@@ -103,8 +107,8 @@ def mix(
 def plan_of(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
     """The budgets of all target sources."""
     known = targets.where("source is not null").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    totals = sized.groupBy("source").agg(F.sum("n_tokens").alias("source_tokens"), F.count("*").alias("source_docs"))
-    return budgets(totals, known, total_tokens)
+    totals = sized.groupBy("source").agg(F.sum("n_tokens").alias("source_tokens"), F.count("*").alias("source_docs"), F.avg("_w").alias("mean_weight"))
+    return budgets(totals, known, total_tokens).fillna(1.0, ["mean_weight"])
 
 
 def mix_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:

@@ -82,3 +82,12 @@ def test_heavier_weights_come_first(spark):
     first = keys.orderBy("k").limit(2_000)
     share = first.agg(F.avg(F.col("heavy").cast("int"))).first()[0]
     assert 0.75 < share < 0.85  # four to one
+
+
+def test_buckets_are_even_for_any_weights(spark):
+    """No bucket holds much more than its part of a source, be its texts of weight 1, 0.05 or both."""
+    for weights in ((1.0,), (0.05,), (0.05, 1.0)):
+        rows = spark.range(40_000).select(F.col("id").alias("_k"), F.element_at(F.array(*[F.lit(w) for w in weights]), F.pmod(F.col("id"), F.lit(len(weights))).cast("int") + 1).alias("_w"))
+        scaled = exponential_key(F.col("_k"), F.col("_w"), 17) * F.lit(sum(weights) / len(weights))
+        most = rows.groupBy(F.floor(scaled / (1 + scaled) * 64).alias("b")).count().agg(F.max("count")).first()[0]
+        assert most <= 40_000 / 64 * 4
