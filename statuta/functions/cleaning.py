@@ -237,20 +237,20 @@ def cleaned_with_statistics(text: Column) -> Column:
     return F.struct(out.alias("text"), lost.alias("fallback"), statistics(text).alias("original"), statistics(out).alias("cleaned"), share.alias("reduction"), F.array(*[F.lit(n) for n, _ in PHASES]).alias("operations"))
 
 
+# Names of the probes of a text, and what each of them looks for.
+PROBES = (
+    ("has_pasal_references", r"(?i)\bPasal\s+\d+"), ("has_bab_headers", r"(?i)\bBAB\s+[IVX]+"), ("has_ayat_numbers", r"\(\d+\)"), ("has_list_markers", r"(?m)^[a-z]\.\s"),
+    ("has_sk_noise", r"(?i)SK\s+No"), ("has_garbled_text", r"[{}\[\]\\|~`@#$%^&*+=<>]"), ("has_spacing_issues", r",\s*,\s*,"), ("has_excessive_newlines", r"\n{3,}"),
+)
+
+
 def statistics(text: Column) -> Column:
     """Sizes and probes of a text."""
     return F.struct(
         F.length(text).alias("character_count"),
         F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")).alias("word_count"),
         F.size(F.split(text, "\n")).alias("line_count"),
-        text.rlike(r"(?i)\bPasal\s+\d+").alias("has_pasal_references"),
-        text.rlike(r"(?i)\bBAB\s+[IVX]+").alias("has_bab_headers"),
-        text.rlike(r"\(\d+\)").alias("has_ayat_numbers"),
-        text.rlike(r"(?m)^[a-z]\.\s").alias("has_list_markers"),
-        text.rlike(r"(?i)SK\s+No").alias("has_sk_noise"),
-        text.rlike(r"[{}\[\]\\|~`@#$%^&*+=<>]").alias("has_garbled_text"),
-        text.rlike(r",\s*,\s*,").alias("has_spacing_issues"),
-        text.rlike(r"\n{3,}").alias("has_excessive_newlines"),
+        *[text.rlike(pattern).alias(name) for name, pattern in PROBES],
     )
 
 

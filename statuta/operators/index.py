@@ -116,13 +116,19 @@ def _place(spark: SparkSession, *tables: DataFrame) -> str:
     return f"{checkpoint_dir(spark)}/search-index-{spark.sparkContext.applicationId}-{_stamp(*tables)}"
 
 
+def _there(spark: SparkSession, index: SearchIndex) -> bool:
+    """Whether the files of an open index still exist."""
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f) for t in (index.units, index.postings) for f in t.inputFiles()[:1]]
+    return all(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) for p in paths)
+
+
 def index_of(spark: SparkSession, folder: str) -> SearchIndex:
     """The index of the units in ``folder``, written into the shared folder when a session first asks for it.
 
     Its name has the names, sizes and times of the tables' files, so changed tables get a new index.
     """
     key = (spark.sparkContext.applicationId, folder)
-    if key not in _OPEN:
+    if key not in _OPEN or not _there(spark, _OPEN[key]):
         units, documents = load(spark, folder, "legal_units"), load(spark, folder, "legal_documents")
         path = _place(spark, units, documents)
         build(units, documents, path)
@@ -133,7 +139,7 @@ def index_of(spark: SparkSession, folder: str) -> SearchIndex:
 def corpus_index_of(spark: SparkSession, folder: str, table: str, key: str, text: str) -> SearchIndex:
     """The index of any table's texts, as ``index_of``; its units are (key, dl)."""
     slot = (spark.sparkContext.applicationId, f"{folder}/{table}")
-    if slot not in _OPEN:
+    if slot not in _OPEN or not _there(spark, _OPEN[slot]):
         rows = load(spark, folder, table)
         path = _place(spark, rows)
         rows.select(key, F.coalesce(F.regexp_count(F.lower(text), F.lit("[a-z0-9]+")), F.lit(0)).alias("dl")).write.mode("overwrite").parquet(f"{path}/units")

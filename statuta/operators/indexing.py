@@ -27,6 +27,11 @@ _SCHEMA = "_k string, seq int, depth int, unit_type string, unit_id string, numb
 
 def _kids(node: dict) -> list[dict]:
     kids = node.get("children")
+    while isinstance(kids, str):  # stored as JSON in a string
+        try:
+            kids = json.loads(kids)
+        except ValueError:
+            return []
     if isinstance(kids, dict):
         kids = [kids]
     return [k for k in kids if isinstance(k, dict)] if isinstance(kids, list) else []

@@ -170,8 +170,9 @@ def explicit_units(units: DataFrame, query: str, limit: int = 20) -> DataFrame:
 def supplemented(explicit: DataFrame, text: DataFrame, limit: int, key: str = "unit_row_id") -> DataFrame:
     """``explicit`` results, filled up from ``text`` results where fewer than half of ``limit``."""
     n = explicit.agg(F.count("*").alias("_n"))
+    text = top(text.join(explicit.select(key), key, "left_anti"), limit, "score", key)  # so the window sees limit rows at most
     order = Window.orderBy(F.desc("score"), key)
-    extra = text.join(explicit.select(key), key, "left_anti").withColumn("_i", F.row_number().over(order)).join(F.broadcast(n))
+    extra = text.withColumn("_i", F.row_number().over(order)).join(F.broadcast(n))
     extra = extra.where((F.col("_n") < limit // 2) & (F.col("_i") <= limit - F.col("_n"))).drop("_i", "_n")
     return explicit.withColumn("source", F.lit("explicit")).unionByName(extra.withColumn("source", F.lit("fts")))
 
@@ -187,6 +188,8 @@ def fuse(vectors: DataFrame, text: DataFrame, key: str, limit: int, vector_weigh
 
     BM25 is unbounded, so its scores are divided by the list's best unless ``normalise`` is off.
     """
+    # no row beyond the best ``limit`` of its own list can be among the best ``limit`` of both
+    vectors, text = top(vectors, limit, "score", key), top(text, limit, "score", key)
     best = Window.orderBy(F.desc("score"), key)
     ranked_v = vectors.select(key, (F.col("score") * vector_weight).alias("score"), F.lit("vector").alias("source"), F.row_number().over(best).alias("seq"))
     scale = F.max("score").over(Window.partitionBy(F.lit(0))) if normalise else F.lit(1.0)

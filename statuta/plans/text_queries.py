@@ -102,10 +102,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _T = "(SELECT extraction_id, text FROM extraction_results WHERE text <> '')"
-_PROBES = {
-    "has_pasal_references": r"(?i)\bPasal\s+\d+", "has_bab_headers": r"(?i)\bBAB\s+[IVX]+", "has_ayat_numbers": r"\(\d+\)", "has_list_markers": r"(?m)^[a-z]\.\s", "has_sk_noise": r"(?i)SK\s+No",
-    "has_garbled_text": r"[{}\[\]\\|~`@#$%^&*+=<>]", "has_spacing_issues": r",\s*,\s*,", "has_excessive_newlines": r"\n{3,}",
-}
+_PROBES = dict(cleaning.PROBES)
 _PROBE_SQL = ", ".join(f"regexp_matches(text, '{p}') AS {n}" for n, p in _PROBES.items())
 
 
