@@ -58,7 +58,7 @@ _NOT_CAPITAL, _NOT_SMALL = re.compile("[^A-Z]+"), re.compile("[^a-km-z]+")
 #: Share of its occurrences that a form must have beside page ends, and their least number, by level of evidence:
 #: whole line, first two words, first word and number of words, shape; a whole line of prose.
 EDGE_SHARE, SUPPORT = (0.3, 0.3, 0.3, 0.3, 0.6), (2, 3, 3, 8, 8)
-#: Most forms of furniture that are broadcast (8 bytes each); more of them are joined by shuffle.
+#: Most forms that are collected and broadcast (9 bytes each).
 BROADCAST_FORMS = 4_000_000
 _BROKEN = re.compile(rf"[^\W\d_][{HYPHENS}]\s*$")
 _START = re.compile(r"^\s*([^\W\d_]\S*)")
@@ -81,8 +81,9 @@ def page_end(line: str) -> bool:
 def forms_of(line: str) -> tuple[str, ...] | None:
     """What furniture may have in common, from the most to the least specific; None for a line that can be none.
 
-    The whole line, its first two words, its first word and number of words, its shape; digits count as #,
-    letters that are misread for each other are one. Lower-case prose has only its whole line.
+    The whole line, its first two words, its first word (both with the number of words), its shape; digits
+    count as #, letters that are misread for each other are one. Each form determines the next. Lower-case
+    prose has only its whole line.
     """
     head = _PAGE_END.sub("", line) if "  " in line else line
     if _PROSE.search(head):
@@ -106,7 +107,8 @@ def forms_of(line: str) -> tuple[str, ...] | None:
         shape = "T#" if "#" in tokens else "T"
     else:
         return ("4" + head.lower().translate(_PROSE_FOLD),)
-    return ("0" + " ".join(tokens), f"1{shape} {' '.join(tokens[:2])}", f"2{shape}{len(tokens)} {tokens[0]}", f"3{shape}" if shape in "CH" else f"3{shape}{len(tokens)}")
+    n = len(tokens)
+    return (f"0{shape} {' '.join(tokens)}", f"1{shape}{n} {' '.join(tokens[:2])}", f"2{shape}{n} {tokens[0]}", f"3{shape}" if shape in "CH" else f"3{shape}{n}")
 
 
 def _hash(form: str) -> int:
@@ -114,7 +116,7 @@ def _hash(form: str) -> int:
 
 
 def edge_counts(texts) -> dict[int, list[int]]:
-    """Per hashed form: its level, occurrences beside a page end, all occurrences, in some texts."""
+    """Per hashed form: its level, occurrences beside a page end, all occurrences, and its less specific forms, in some texts."""
     found: dict[int, list[int]] = {}
     for text in texts:
         lines = [x for x in (line.strip() for line in text.split("\n")) if x]
@@ -126,8 +128,11 @@ def edge_counts(texts) -> dict[int, list[int]]:
             if forms is None or own_heading(lines, i):
                 continue
             beside = (i > 0 and ends[i - 1]) or (i + 1 < len(lines) and ends[i + 1]) or bool(_PAGE_END.search(line))
-            for form in forms:
-                entry = found.setdefault(_hash(form), [int(form[0]), 0, 0])
+            hashes = [_hash(f) for f in forms]
+            for level, h in enumerate(hashes):
+                entry = found.get(h)
+                if entry is None:
+                    entry = found[h] = [int(forms[level][0]), 0, 0, *([0] * (level + 1) + hashes[level + 1 :])[-3:]] if len(hashes) > 1 else [4, 0, 0, 0, 0, 0]
                 entry[1] += beside
                 entry[2] += 1
     return found
@@ -203,29 +208,38 @@ def read_lines(text: str, furniture: Furniture = NO_FURNITURE) -> list[tuple]:
     return [tuple(e) for e in out]
 
 
+_COUNTED = ["h", "level", "n_edge", "n", "f1", "f2", "f3"]
+
+
 def furniture_of(columns: list[tuple[DataFrame, str, str, str]]) -> Furniture:
     """The judged forms of several columns' texts together; counts are over all lines of all texts.
 
-    A form is judged at SUPPORT occurrences beside page ends or ten times as many in all.
+    A form is judged at SUPPORT occurrences beside page ends or ten times as many in all. Shapes and first
+    words, which grow with the vocabulary only, are all collected; of whole lines and first two words only
+    those whose verdict the less specific forms would not give: a title that runs over the pages of its one
+    document is furniture by its shape, so there are not as many forms as documents.
     """
 
     def run(batches):
         for batch in batches:
             found = edge_counts(batch["text"])
-            yield pd.DataFrame([(h, *n) for h, n in found.items()], columns=["h", "level", "n_edge", "n"])
+            yield pd.DataFrame([(h, *n) for h, n in found.items()], columns=_COUNTED)
 
     counted = None
     for df, _, text, _ in columns:
-        one = df.select(F.col(text).alias("text")).where(F.contains("text", F.lit("\n"))).mapInPandas(run, "h bigint, level int, n_edge bigint, n bigint")
+        one = df.select(F.col(text).alias("text")).where(F.contains("text", F.lit("\n"))).mapInPandas(run, "h bigint, level int, n_edge bigint, n bigint, f1 bigint, f2 bigint, f3 bigint")
         counted = one if counted is None else counted.unionByName(one)
-    total = counted.groupBy("h", "level").agg(F.sum("n_edge").alias("n_edge"), F.sum("n").alias("n"))
+    total = counted.groupBy("h", "level").agg(F.sum("n_edge").alias("n_edge"), F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("f1", "f2", "f3")])
     support, share = (F.element_at(F.array(*[F.lit(x) for x in table]), F.col("level") + 1) for table in (SUPPORT, EDGE_SHARE))
     furniture = F.col("n_edge") >= share * F.col("n")
-    # a form of the body decides only against a less specific form of furniture, which prose does not have
-    judged = total.where((F.col("n_edge") >= support) | (F.col("n") >= 10 * support)).where((F.col("level") < 4) | furniture).select("h", furniture.alias("furniture"))
-    rows = judged.limit(BROADCAST_FORMS + 1).toPandas()
+    judged = checkpoint(total.where((F.col("n_edge") >= support) | (F.col("n") >= 10 * support)).select("h", "level", furniture.alias("furniture"), "f1", "f2", "f3"))
+    rest = judged
+    for i in (1, 2, 3):
+        rest = rest.join(judged.where(F.col("level") == i).select(F.col("h").alias(f"f{i}"), F.col("furniture").alias(f"v{i}")), f"f{i}", "left")
+    otherwise = F.coalesce("v1", "v2", "v3", F.lit(False))
+    rows = rest.where(F.col("level").isin(2, 3) | (F.col("furniture") != otherwise)).select("h", "furniture").limit(BROADCAST_FORMS + 1).toPandas()
     if len(rows) > BROADCAST_FORMS:
-        raise ValueError(f"more than {BROADCAST_FORMS} forms of lines are judged; count them with higher SUPPORT")
+        raise ValueError(f"more than {BROADCAST_FORMS} forms of lines are exceptions to their shape; count them with higher SUPPORT")
     rows = rows.sort_values("h")
     return Furniture((rows["h"].to_numpy(np.int64), rows["furniture"].to_numpy(bool)))
 
