@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from statuta.operators import search as S
 from statuta.operators import service as V
+from statuta.operators import vectors as VI
 from statuta.operators.filters import Filters
 from statuta.operators.index import corpus_index_of, document_rows, index_of
 from statuta.operators.tree import keep_first
-from statuta.session import load
+from statuta.session import checkpoint_dir, load
 
 TEXT_QUERY, TEXT_FILTERED = "laporan berkala wajib", "dokumen lingkungan"
 CONTEXT_LIMIT = 20
@@ -62,6 +63,29 @@ def vector_search(spark: SparkSession, d: str) -> DataFrame:
     return S.vector_search(v, v.where("vec_id = 7").select(F.col("embedding").alias("q")), limit=15).select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
+_VECTORS: dict = {}
+
+
+def _vector_index(spark: SparkSession, d: str) -> VI.VectorIndex:
+    slot = (spark.sparkContext.applicationId, d)
+    if slot not in _VECTORS:
+        _VECTORS[slot] = VI.build(load(spark, d, "embeddings"), f"{checkpoint_dir(spark)}/vector-index-{spark.sparkContext.applicationId}-{abs(hash(d))}")
+    return _VECTORS[slot]
+
+
+def vector_search_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest vectors through the inverted lists."""
+    query = load(spark, d, "embeddings").where("vec_id = 7").first()
+    return _vector_index(spark, d).search(list(query["embedding"]), 15).select("vec_id", "label", F.round("score", 6).alias("score"))
+
+
+def vector_index_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of the inverted lists at ten results, for every row whose id is divisible by 20 as a query, against all rows."""
+    index = _vector_index(spark, d)
+    n, share = VI.recall(index, index.rows.where("vec_id % 20 = 0"))
+    return spark.createDataFrame([(n, share >= 0.9, round(share, 4))], "n_queries bigint, enough boolean, recall double")
+
+
 def vector_with_units(spark: SparkSession, d: str) -> DataFrame:
     """Vector hits with their unit where it is an article (left join, condition on the right).
 
@@ -177,7 +201,7 @@ def search_log(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    hybrid_search, text_search, text_search_unindexed, text_search_filtered, article_filtered_search, service_auto_explicit, service_auto_hybrid, service_empty, service_log, vector_search, vector_with_units, explicit_search, explicit_supplemented, query_routing, query_citations,
+    hybrid_search, text_search, text_search_unindexed, text_search_filtered, article_filtered_search, service_auto_explicit, service_auto_hybrid, service_empty, service_log, vector_search, vector_search_indexed, vector_index_recall, vector_with_units, explicit_search, explicit_supplemented, query_routing, query_citations,
     related_units, document_outline, contextual_search, multi_query_search, reranked_search, term_statistics, search_log,
 )}
 
