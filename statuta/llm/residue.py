@@ -1,11 +1,12 @@
 """Template residue, filler, error pages and script notices in place of content.
 
 Cells are cut into segments (lines and sentences). Response statuses, phrases, filler and placeholder
-notations label the segments of a bounded sample of records weakly; an L2-regularised logistic regression
-on hashed word n-grams, length and title features learns from them and scores every segment of the table.
-The patterns are no features and do not run over the table: they only label the sample, and a last exact
-check of the few segments of high score spares rules that speak of such messages, editorial brackets,
-formulas and blanks in forms for the public. A cell with a residual segment is residue.
+notations label all segments of the table weakly; an L2-regularised logistic regression on hashed word
+n-grams, length and title features learns from all of them and scores every one. Equal segments are
+labelled, learned from and scored once, with their number as weight. The patterns are no features: they
+only label, and a last exact check of the few segments of high score spares rules that speak of such
+messages, editorial brackets, formulas and blanks in forms for the public. A cell with a residual segment
+is residue.
 """
 
 from __future__ import annotations
@@ -18,8 +19,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Records that are labelled and learned from, at most about; hashed dimensions; regularisation; threshold.
-SAMPLE, DIMENSIONS, REGULARISATION, THRESHOLD = 20_000, 1 << 14, 1e-4, 0.5
+from statuta.operators.bloom import BloomFilter
+from statuta.session import checkpoint
+
+#: Hashed dimensions; regularisation; threshold.
+DIMENSIONS, REGULARISATION, THRESHOLD = 1 << 14, 1e-4, 0.5
 #: Fitting ends when a round gains less than this share of the loss, or after so many rounds.
 TOLERANCE, ROUNDS = 1e-4, 100
 #: Weight of a segment that no pattern judges: content, more often than not.
@@ -104,12 +108,12 @@ FAMILIES = ("placeholder", "filler", "status", "phrase")
 
 def family(segment: Column, title: Column) -> Column:
     """The family of patterns that marks a segment as residue; null where none does."""
-    norm = segment.rlike(_NORM)
     return (
         F.when(segment.rlike(PLACEHOLDERS) & (title | ~segment.rlike(_FORM_LINE)), "placeholder")
         .when(segment.rlike(FILLERS) | segment.rlike(_MASHED) | repeats(segment), "filler")
-        .when(segment.rlike(STATUSES) & ~norm, "status")
-        .when(segment.rlike(PHRASES) & ~norm, "phrase")
+        .when(segment.rlike(_NORM), None)
+        .when(segment.rlike(STATUSES), "status")
+        .when(segment.rlike(PHRASES), "phrase")
     )
 
 
@@ -132,28 +136,27 @@ def _vectors(rows: DataFrame) -> DataFrame:
     return hashed.transform(terms).drop("_terms", "_words")
 
 
-def sampled(df: DataFrame, key: str, sample: int) -> DataFrame:
-    """At most about ``sample`` records, drawn by hash of the key, spread over the cores."""
-    share = min(1.0, sample / max(df.count(), 1))
-    drawn = df.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < share * (1 << 20)) if share < 1 else df
-    return drawn.repartition(max(2, min(64, df.sparkSession.sparkContext.defaultParallelism)))
+def counted(rows: DataFrame, *by: str) -> DataFrame:
+    """Each different segment of ``rows`` (and ``by``) with n, the number of rows that have it."""
+    found = rows.groupBy("segment", "title", "alone", *by).agg(F.count("*").alias("n"))
+    # each round of training moves one gradient a partition, so they are no more than keep the cores busy, or a quarter of a shuffle's
+    spark = rows.sparkSession
+    return found.coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
 
 
 def train(rows: DataFrame, without: str | None = None) -> LogisticRegressionModel | None:
-    """The classifier of labelled segments (of a bounded sample); those of the family ``without`` are left aside.
+    """The classifier of labelled segments, each as often as its n says; those of the family ``without`` are left aside.
 
     None if one of the classes has no segment.
     """
     used = rows.where(F.col("family").isNull() | (F.col("family") != without)) if without else rows
-    counts = {r["label"]: r["n"] for r in used.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    counts = {r["label"]: r["n"] for r in used.groupBy("label").agg(F.sum("n").alias("n")).collect()}
     if len(counts) < 2:
         return None
     weight = F.when(F.col("label") == 1, F.lit(max(1.0, min(10.0, counts[0.0] / counts[1.0])))).when(F.col("sure"), 1.0).otherwise(UNJUDGED)
-    weighted = _vectors(used).select("features", "label", weight.alias("w")).persist()
-    try:
-        return LogisticRegression(featuresCol="features", labelCol="label", weightCol="w", regParam=REGULARISATION, maxIter=ROUNDS, tol=TOLERANCE, standardization=False).fit(weighted)
-    finally:
-        weighted.unpersist()
+    # not persisted: the regression keeps the vectors in blocks of its own
+    weighted = _vectors(used).select("features", "label", (weight * F.col("n")).alias("w"))
+    return LogisticRegression(featuresCol="features", labelCol="label", weightCol="w", regParam=REGULARISATION, maxIter=ROUNDS, tol=TOLERANCE, standardization=False).fit(weighted)
 
 
 def score(rows: DataFrame, model: LogisticRegressionModel) -> DataFrame:
@@ -166,24 +169,28 @@ def spared(segment: Column, title: Column) -> Column:
     return ~segment.rlike(PLACEHOLDERS) & (segment.rlike(_NORM) | (~title & segment.rlike(_FORM_LINE)))
 
 
-def residue(df: DataFrame, key: str = "doc_row_id", fields: tuple[str, ...] = ("doc_title", "doc_content"), sample: int = SAMPLE) -> DataFrame:
+def residue(df: DataFrame, key: str = "doc_row_id", fields: tuple[str, ...] = ("doc_title", "doc_content")) -> DataFrame:
     """(key, field_name, score) of each cell that holds residue instead of content.
 
-    Null and blank cells are no residue; repeated rows are judged alike; texts are read whole. Only the
-    weights come from the sample, every segment of the table is scored. Without segments of both kinds
-    to learn from there is no result row.
+    Null and blank cells are no residue; repeated rows are judged alike; texts are read whole. Weights and
+    scores come from every segment of the table. Without segments of both kinds to learn from there is no
+    result row.
     """
-    names = list(fields)
-    known = labelled(segments(sampled(df, key, sample), key, names)).persist()  # of the bounded sample; read twice
+    rows = segments(df, key, list(fields))
+    same = ["segment", "title", "alone"]
+    known = labelled(counted(rows)).persist()  # read for the class counts, in training and for the scores
     try:
         model = train(known)
+        if model is None:
+            return rows.where("false").select(key, "field_name", F.lit(0.0).alias("score"))
+        # the check runs on segments of high score only
+        bad = F.when(F.col("score") >= THRESHOLD, ~spared(F.col("segment"), F.col("title"))).otherwise(False)
+        found = checkpoint(score(known, model).where(bad).select(*same, "score"))
     finally:
         known.unpersist()
-    rows = segments(df, key, names)
-    if model is None:
-        return rows.where("false").select(key, "field_name", F.lit(0.0).alias("score"))
-    likely = score(rows, model).where(F.col("score") >= THRESHOLD)
-    return likely.where(~spared(F.col("segment"), F.col("title"))).groupBy(key, "field_name").agg(F.max("score").alias("score"))
+    # only rows that may hold a residual segment are moved to be compared
+    maybe = BloomFilter(found.select(F.xxhash64(*same).alias("_h")), "_h").probe(rows.withColumn("_h", F.xxhash64(*same)), "_h", "_maybe").where("_maybe")
+    return maybe.select(F.col(key), "field_name", *same).join(found, same).groupBy(key, "field_name").agg(F.max("score").alias("score"))
 
 
 def kept(df: DataFrame, key: str = "doc_row_id", fields: tuple[str, ...] = ("doc_title", "doc_content")) -> DataFrame:
@@ -195,7 +202,7 @@ def kept(df: DataFrame, key: str = "doc_row_id", fields: tuple[str, ...] = ("doc
     return out.drop("_bad")
 
 
-def validate(df: DataFrame, key: str = "doc_row_id", fields: tuple[str, ...] = ("doc_title", "doc_content"), host: str = "detail_url", group: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
+def validate(df: DataFrame, key: str = "doc_row_id", fields: tuple[str, ...] = ("doc_title", "doc_content"), host: str = "detail_url", group: str = "doc_id") -> DataFrame:
     """What the classifier knows beyond its labels, on hosts that training did not see.
 
     Every fifth host is held out; where there are fewer than five hosts, every fifth document (column
@@ -204,10 +211,10 @@ def validate(df: DataFrame, key: str = "doc_row_id", fields: tuple[str, ...] = (
     n_residue marked segments, recall of them by the classifier alone, n_clean surely clean segments and
     the share of them that it takes for residue. Agreement with patterns, not with a reader.
     """
-    rows = segments(sampled(df, key, sample), key, list(fields), host, group if group in df.columns else key)
+    rows = segments(df, key, list(fields), host, group if group in df.columns else key)
     hosts = rows.select("host").distinct().limit(5).count()
     by = F.col("host") if hosts >= 5 else F.coalesce(F.col("grp").cast("string"), F.lit(""))
-    rows = labelled(rows).withColumn("_held", F.pmod(F.xxhash64(by), F.lit(5)) == 0).persist()
+    rows = labelled(counted(rows.withColumn("_held", F.pmod(F.xxhash64(by), F.lit(5)) == 0), "_held")).persist()
     out = []
     for left_out in (None, *FAMILIES):
         model = train(rows.where("not _held"), left_out)
@@ -216,9 +223,10 @@ def validate(df: DataFrame, key: str = "doc_row_id", fields: tuple[str, ...] = (
         judged = score(rows.where("_held"), model).withColumn("hit", F.col("score") >= THRESHOLD)
         marked = (F.col("label") == 1) & (F.col("family") == left_out if left_out else F.lit(True))
         clean = (F.col("label") == 0) & F.col("sure")
+        n = lambda which: F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0))
         out.append(judged.agg(
-            F.count_if(marked).alias("n_residue"), F.round(F.count_if(marked & F.col("hit")) / F.nullif(F.count_if(marked), F.lit(0)), 4).alias("recall"),
-            F.count_if(clean).alias("n_clean"), F.round(F.count_if(clean & F.col("hit")) / F.nullif(F.count_if(clean), F.lit(0)), 4).alias("false_share"),
+            n(marked).alias("n_residue"), F.round(n(marked & F.col("hit")) / F.nullif(n(marked), F.lit(0)), 4).alias("recall"),
+            n(clean).alias("n_clean"), F.round(n(clean & F.col("hit")) / F.nullif(n(clean), F.lit(0)), 4).alias("false_share"),
         ).select(F.lit("host" if hosts >= 5 else "document").alias("group_kind"), F.lit(left_out or "none").alias("labels_left_out"), "*"))
     if not out:
         return df.sparkSession.createDataFrame([], "group_kind string, labels_left_out string, n_residue bigint, recall double, n_clean bigint, false_share double")

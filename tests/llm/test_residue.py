@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from statuta.llm.residue import family, kept, residue, validate
@@ -58,3 +59,21 @@ def test_model_finds_what_no_pattern_marks(spark):
     last = len(cells) - 1
     marked = df.where(f"doc_row_id = {last}").select(family(F.col("doc_content"), F.lit(False)).alias("f")).first()["f"]
     assert marked is None and (last, "doc_content") in {(r["doc_row_id"], r["field_name"]) for r in residue(df).collect()}
+
+
+def test_all_rows_are_learned_from(spark):
+    """Residue in a few of many records, whichever they are: 30,000 rows, the last of them by hash of the key."""
+    by_hash = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
+    late = F.row_number().over(Window.orderBy(by_hash.desc(), "id"))
+    bad = F.element_at(F.array(*[F.lit(b) for b in BAD]), F.col("late"))
+    rows = spark.range(30_000).withColumn("late", late).select(
+        F.col("id").alias("doc_row_id"), F.lit("Pajak Parkir").alias("doc_title"),
+        F.when(F.col("late") <= len(BAD), bad).otherwise(F.concat(F.lit("Pemohon wajib menyampaikan dokumen "), (F.col("id") % 200).cast("string"))).alias("doc_content"), F.lit(None).cast("string").alias("detail_url"), "late",
+    ).persist()
+    want = {r["doc_row_id"] for r in rows.where(F.col("late") <= len(BAD)).collect()}
+    assert {r["doc_row_id"] for r in residue(rows).where("field_name = 'doc_content'").collect()} == want
+    held = F.pmod(F.xxhash64(F.col("doc_row_id").cast("string")), F.lit(5)) == 0
+    n_clean = rows.where(held & (F.col("late") > len(BAD))).count()
+    report = {r["labels_left_out"]: r for r in validate(rows).collect()}
+    assert report["none"]["n_clean"] == n_clean and report["none"]["n_residue"] == rows.where(held & (F.col("late") <= len(BAD))).count()
+    rows.unpersist()
